@@ -1,0 +1 @@
+"""Intentionally empty: none of the covered work is a stream (see README)."""
