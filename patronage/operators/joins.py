@@ -1,8 +1,8 @@
 """Joins that match null to null, and group statistics attached to every row.
 
-No join here is forced to broadcast: Catalyst broadcasts a side whose known size is below
-``spark.sql.autoBroadcastJoinThreshold``, AQE does so with the size measured at run time, and beyond it
-the join shuffles both sides and AQE splits the partitions of hot keys.
+No join here is forced to broadcast. A table of group statistics is first made durable, so that Catalyst
+knows its real size: below ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the rows it joins
+are not shuffled at all; beyond it both sides are shuffled and AQE splits the partitions of hot keys.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.session import durable
+
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
@@ -41,7 +43,7 @@ def attach_group_stats(
     its shuffle, and only the one row per group is joined back.
     """
     table = df.groupBy(*keys).agg(*[e.alias(name) for name, e in stats.items()])
-    return null_safe_join(df, table, keys)
+    return null_safe_join(df, durable(table), keys)
 
 
 def join_dimension(

@@ -142,9 +142,11 @@ def attach_member_stats(df: DataFrame) -> DataFrame:
     The bookings are aggregated once, per member and resort kind; the member's own statistics are rolled
     up from that smaller table, and the two are put together before they meet the bookings.
     """
-    fine = df.groupBy(*MEMBER_RESORT).agg(
-        *[_extreme(which, column).alias(name) for name, (which, column) in MEMBER_STATS.items()],
-        F.count(F.lit(1)).alias("total_visit"),
+    fine = durable(
+        df.groupBy(*MEMBER_RESORT).agg(
+            *[_extreme(which, column).alias(name) for name, (which, column) in MEMBER_STATS.items()],
+            F.count(F.lit(1)).alias("total_visit"),
+        )
     )
     coarse = fine.groupBy(*MEMBER).agg(
         *[_extreme(which, name).alias(name) for name, (which, _) in MEMBER_STATS.items()],
@@ -159,7 +161,8 @@ def attach_member_stats(df: DataFrame) -> DataFrame:
         "min_children": "min_children_rrc",
     }
     fine = fine.select(*MEMBER_RESORT, *[F.col(old).alias(new) for old, new in kept.items()])
-    return null_safe_join(df, null_safe_join(fine, coarse, MEMBER), MEMBER_RESORT)
+    stats = null_safe_join(fine, coarse, MEMBER)
+    return null_safe_join(df, durable(stats), MEMBER_RESORT)
 
 
 def encodings(cleaned: DataFrame, target: str) -> dict[str, DataFrame]:
@@ -173,11 +176,12 @@ def encodings(cleaned: DataFrame, target: str) -> dict[str, DataFrame]:
 def features(bookings: DataFrame, target: str = "amount", id_width: int | None = None) -> DataFrame:
     """All features of every booking.
 
-    The cleaned rows are read five times (themselves, member statistics, three encodings), so they are
-    made durable once.
+    The cleaning is a plain projection, so each of the statistics re-reads only its few source columns;
+    that costs less than keeping the wide cleaned rows. Bookings that are expensive to compute should be
+    made durable before.
     """
-    cleaned = durable(clean(bookings, id_width))
+    cleaned = clean(bookings, id_width)
     out = attach_member_stats(cleaned)
     for table in encodings(cleaned, target).values():
-        out = natural_left_join(out, table)
+        out = natural_left_join(out, durable(table))
     return out

@@ -109,9 +109,7 @@ TREES = 10
 
 
 def _vectors(spark, folder):
-    features = booking_plan.features(views.bookings(spark, folder))
-    train, test = regress.vectors(features)
-    return durable(train), test
+    return regress.vectors(booking_plan.features(views.bookings(spark, folder)))
 
 
 @query()

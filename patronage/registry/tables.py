@@ -317,7 +317,7 @@ def agg_state_region(spark, folder):
 
 # ---- scoring ----
 
-_SCORE_COLUMNS = "customer_id, recency, frequency, CAST(monetary AS DOUBLE) AS monetary, r, f, m, rfm_code, agg_score"
+_SCORE_COLUMNS = "customer_id, CAST(recency AS INTEGER) AS recency, frequency, CAST(monetary AS DOUBLE) AS monetary, r, f, m, rfm_code, agg_score"
 
 
 def _scored(spark, folder):

@@ -20,7 +20,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,6 +51,12 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept on shared storage, so a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table on shared storage.
+
+    A lost executor then costs no recomputation of what lies before, and each later reader takes only the
+    columns it needs, with sizes Catalyst knows. The tables of one application share its checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
