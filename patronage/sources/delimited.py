@@ -5,33 +5,26 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from patronage.functions.missing import MISSING_TEXT
+from patronage.operators.columns import across
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Reads with the declared types: no inference pass over the data.
 
-    An empty field is an empty string, only ``NA`` is missing.
+    ``NA`` and an empty field are both missing.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", MISSING_TEXT)
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    df = spark.read.schema(schema).option("header", True).option("nullValue", MISSING_TEXT).csv(path)
+    texts = [f.name for f in schema if isinstance(f.dataType, StringType)]
+    return across(df, texts, lambda c: F.nullif(c, F.lit("")))
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
     """Writes a folder of part files, one per partition; fails if it exists."""
-    (
-        df.write.option("header", True)
-        .option("nullValue", MISSING_TEXT)
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    df.write.option("header", True).option("nullValue", MISSING_TEXT).csv(path)
 
 
 def stamped(folder: str, name: str, at: dt.datetime) -> str:
