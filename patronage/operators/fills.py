@@ -12,6 +12,7 @@ from patronage.functions.missing import if_else
 from patronage.operators.aggregate import frequency
 from patronage.operators.joins import attach_group_stats, null_safe_join, prefer
 from patronage.operators.ranking import top_n_per_group
+from patronage.session import durable
 
 
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -30,14 +31,14 @@ def fill_by_map(df: DataFrame, column: str, by: str, mapping: Mapping) -> DataFr
 
 def group_mode(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
     """The most frequent known value of each group, with its count; ties are all kept."""
-    counts = frequency(df.where(F.col(column).isNotNull()), *groups, column)
+    counts = durable(frequency(df.where(F.col(column).isNotNull()), *groups, column))
     return top_n_per_group(counts, "n", groups)
 
 
 def fill_by_group_mode(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
     """Nulls replaced by the group's most frequent value, the smallest one on ties."""
     modes = group_mode(df, groups, column).groupBy(*groups).agg(F.min(column).alias("_mode"))
-    return prefer(null_safe_join(df, modes, groups), column, "_mode")
+    return prefer(null_safe_join(df, durable(modes), groups), column, "_mode")
 
 
 def fill_with_max(df: DataFrame, column: str) -> DataFrame:

@@ -49,12 +49,17 @@ def attach_group_stats(
 def join_dimension(
     facts: DataFrame, dimension: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Facts with a match in the dimension, plus the named dimension columns."""
-    return facts.join(dimension.select(key, *columns), key, "inner")
+    """Facts with a match in the dimension, plus the named dimension columns.
+
+    The dimension is often a join itself, whose size Catalyst can only guess, so it is made durable: a
+    small one is then broadcast and the facts stay where they are.
+    """
+    return facts.join(durable(dimension.select(key, *columns)), key, "inner")
 
 
 def share_of_group(df: DataFrame, value: str, groups: Sequence[str], name: str) -> DataFrame:
-    """Each row's part of its group's total."""
+    """Each row's part of its group's total. ``df`` is computed once, though it is read twice."""
+    df = durable(df)
     whole = attach_group_stats(df, groups, {"_whole": F.sum(value)})
     part = F.try_divide(F.col(value).cast("double"), F.col("_whole").cast("double"))
     return whole.withColumn(name, part).drop("_whole")

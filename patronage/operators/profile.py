@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators.joins import null_safe_join
 from patronage.operators.ranking import exact_quantiles
+from patronage.session import durable
 
 QUARTERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTER_NAMES = ("min", "q1", "median", "q3", "max")
@@ -63,7 +64,7 @@ def box_plot(df: DataFrame, group: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
     return (
-        null_safe_join(data, boxes, [group])
+        null_safe_join(data, durable(boxes), [group])
         .groupBy(group)
         .agg(
             *[F.max(c).alias(c) for c in ("q1", "median", "q3")],

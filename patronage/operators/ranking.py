@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.operators.joins import null_safe_join
+from patronage.operators.joins import attach_group_stats, null_safe_join
 from patronage.session import durable
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these low bits
@@ -106,11 +106,11 @@ def exact_quantiles(
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col("_value").asc()]
     runs = running_total(counts, order, "_count", "_through")
     runs = runs.withColumn("_before", F.col("_through") - F.col("_count"))
-    edges = [F.min("_before").alias("_first"), F.max("_through").alias("_last")]
+    edges = {"_first": F.min("_before"), "_last": F.max("_through")}
     if groups:
-        runs = null_safe_join(runs, runs.groupBy(*groups).agg(*edges), groups)
+        runs = attach_group_stats(runs, groups, edges)
     else:
-        both = runs.agg(*edges).select(F.struct("_first", "_last")).scalar()
+        both = runs.agg(F.struct(*[e.alias(name) for name, e in edges.items()])).scalar()
         runs = runs.withColumn("_edges", both).select("*", "_edges.*")
     size = F.col("_last") - F.col("_first")
 
@@ -132,28 +132,28 @@ def exact_quantiles(
 
 
 def top_n(df: DataFrame, by: str, n: int) -> DataFrame:
-    """The ``n`` rows largest in ``by``, with all rows tied to the last of them."""
+    """The ``n`` rows largest in ``by``, with all rows tied to the last of them; ``df`` is read twice."""
     last = df.select(by).orderBy(F.desc(by)).limit(n).agg(F.min(by)).scalar()
     return df.where(F.col(by) >= last)
 
 
-def top_n_per_group(df: DataFrame, by: str, groups: Sequence[str], n: int = 1) -> DataFrame:
-    """Per group the ``n`` rows largest in ``by``, with ties.
+def group_cuts(df: DataFrame, by: str, groups: Sequence[str], n: int) -> DataFrame:
+    """Per group the ``n``-th largest value of ``by`` as ``_cut``.
 
-    The cut value comes from at most ``n`` rows per group and map task (Spark limits the window before
-    its shuffle), however many rows are tied; the rows themselves are then only compared with it.
+    At most ``n`` rows per group leave a map task (Spark limits the window before its shuffle), however
+    many rows are tied.
     """
     if n == 1:
-        cuts = df.groupBy(*groups).agg(F.max(by).alias("_cut"))
-    else:
-        place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(by)))
-        cuts = (
-            df.select(*groups, by)
-            .withColumn("_place", place)
-            .where(F.col("_place") <= n)
-            .groupBy(*groups)
-            .agg(F.min(by).alias("_cut"))
-        )
-    return (
-        null_safe_join(df, cuts, groups, "inner").where(F.col(by) >= F.col("_cut")).drop("_cut")
-    )
+        return df.groupBy(*groups).agg(F.max(by).alias("_cut"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(by)))
+    best = df.select(*groups, by).withColumn("_place", place).where(F.col("_place") <= n)
+    return best.groupBy(*groups).agg(F.min(by).alias("_cut"))
+
+
+def top_n_per_group(df: DataFrame, by: str, groups: Sequence[str], n: int = 1) -> DataFrame:
+    """Per group the ``n`` rows largest in ``by``, with ties; ``df`` is read twice.
+
+    The rows are only compared with their group's cut value, so ties never meet in one task.
+    """
+    cuts = durable(group_cuts(df, by, groups, n))
+    return null_safe_join(df, cuts, groups, "inner").where(F.col(by) >= F.col("_cut")).drop("_cut")

@@ -12,7 +12,7 @@ from patronage.plans import bookings as booking_plan
 from patronage.plans import retail, rfm
 from patronage.registry.core import query
 from patronage.registry.rows import WEEK_REPAIRS
-from patronage.session import fresh_folder
+from patronage.session import durable, fresh_folder
 from patronage.sources import delimited, tables, views
 
 KEY = views.BOOKING_KEY
@@ -73,7 +73,7 @@ def jn_natural_left_nullsafe(spark, folder):
             (F.sum("total_pax").cast("double") / F.count("total_pax")).alias("mean_pax"),
         )
     )
-    return joins.natural_left_join(df.select(*KEY, *keys), stats)
+    return joins.natural_left_join(df.select(*KEY, *keys), durable(stats))
 
 
 @query(

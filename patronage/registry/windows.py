@@ -10,6 +10,7 @@ from patronage.plans import affinity
 from patronage.plans import bookings as booking_plan
 from patronage.plans import rfm
 from patronage.registry.core import query
+from patronage.session import durable
 from patronage.sources import views
 from patronage.sources.tables import table
 
@@ -35,7 +36,7 @@ def win_group_count(spark, folder):
 )
 def win_member_stats(spark, folder):
     df = views.bookings(spark, folder)
-    stats = booking_plan.member_stats(df)
+    stats = durable(booking_plan.member_stats(df))
     return joins.null_safe_join(df.select(*KEY, "memberid"), stats, booking_plan.MEMBER)
 
 
@@ -48,7 +49,7 @@ def win_member_stats(spark, folder):
 )
 def win_member_region_stats(spark, folder):
     df = views.bookings(spark, folder)
-    stats = booking_plan.resort_stats(df)
+    stats = durable(booking_plan.resort_stats(df))
     keys = booking_plan.MEMBER_RESORT
     return joins.null_safe_join(df.select(*KEY, *keys), stats, keys)
 
@@ -114,7 +115,7 @@ def srt_multi(spark, folder):
 )
 def win_top_n_group(spark, folder):
     df = views.bookings(spark, folder).withColumn("checkin_quarter", F.quarter("checkin_date"))
-    counts = frequency(df, "checkin_quarter", "state_code_residence")
+    counts = durable(frequency(df, "checkin_quarter", "state_code_residence"))
     return ranking.top_n_per_group(counts, "n", ["checkin_quarter"], 3)
 
 
@@ -124,7 +125,7 @@ def win_top_n_group(spark, folder):
                SELECT customer_id, count(*) AS n FROM fx_transactions GROUP BY customer_id)) WHERE place <= 30"""
 )
 def win_top_n_global(spark, folder):
-    counts = frequency(views.transactions(spark, folder), "customer_id")
+    counts = durable(frequency(views.transactions(spark, folder), "customer_id"))
     return ranking.top_n(counts, "n", 30)
 
 

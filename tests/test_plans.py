@@ -49,7 +49,7 @@ def test_year_filter_reaches_below_the_joins(spark, small):
 
 def test_top_n_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("n"))
-    text = plan(ranking.top_n_per_group(df, "n", ["g"], 3))
+    text = plan(ranking.group_cuts(df, "n", ["g"], 3))
     assert "WindowGroupLimit" in text and "Partial" in text
     assert "TakeOrderedAndProject" in plan(df.orderBy(F.desc("n")).limit(3))
 
@@ -130,3 +130,31 @@ def test_delimited_reads_empty_and_na_as_missing(spark, tmp_path):
 def test_constant_measure_fills(spark):
     df = spark.createDataFrame([(None,), (None,)], "x int")
     assert [r.x for r in fills.fill_with_max(df, "x").collect()] == [None, None]
+
+
+def test_adaptive_execution_splits_a_hot_group(spark):
+    """A group with a third of the rows, beyond the broadcast threshold: its partition is cut up."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = spark.range(0, 200_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), F.col("id")
+        )
+        out = joins.attach_group_stats(df, ["g"], {"n": F.count(F.lit(1))})
+        assert {r["n"]: r["count"] for r in out.groupBy("n").count().collect()} == {66_667: 66_667, 1: 133_333}
+        # its own execution, since a grouped result hides the join below another exchange
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in plan(out)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
