@@ -109,7 +109,7 @@ TREES = 10
 
 
 def _vectors(spark, folder):
-    return regress.vectors(booking_plan.features(views.bookings(spark, folder)))
+    return regress.vectors(booking_plan.features(views.bookings(spark, folder, spread=True)))
 
 
 @query()

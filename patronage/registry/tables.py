@@ -386,7 +386,7 @@ _FEATURES = ", ".join(
         WINDOW m AS (PARTITION BY memberid), r AS (PARTITION BY memberid, resort_region_code, resort_type_code)"""
 )
 def booking_features(spark, folder):
-    return booking_plan.features(views.bookings(spark, folder))
+    return booking_plan.features(views.bookings(spark, folder, spread=True))
 
 
 # ---- encodings of stores ----

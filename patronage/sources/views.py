@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.labels import REGION_PREFIX, RETURN_TYPE, STANDALONE
-from patronage.sources.tables import table
+from patronage.sources.tables import fact_table, table
 
 PURCHASE_TYPE = "Purchase"
 RETURN_REASONS = ("Size Problem", "Fit Problem", "Zip Defect", "Adhesive", "Gift Exchange", "Color Exchange")
@@ -120,8 +120,10 @@ def test_pairs(spark: SparkSession, folder: str) -> DataFrame:
 test_pairs.__test__ = False  # not a test, whatever its name suggests to a collector
 
 
-def bookings(spark: SparkSession, folder: str) -> DataFrame:
-    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+def bookings(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """``spread`` is for jobs with much work per row, see :func:`fact_table`."""
+    lines = (fact_table if spread else table)(spark, folder, "lineitem")
+    orders = table(spark, folder, "orders")
     order, number = F.col("l_orderkey"), F.col("l_linenumber")
     part, supplier, customer = F.col("l_partkey"), F.col("l_suppkey"), F.col("o_custkey")
     guests = F.col("l_quantity").cast("int")
