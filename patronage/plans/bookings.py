@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,16 +78,18 @@ def calendar_parts(df: DataFrame) -> DataFrame:
 def clean(
     df: DataFrame,
     id_width: int | None = None,
+    id_columns: Sequence[str] = ("memberid", "resort_id"),
     seasons: Mapping[int, int] = SEASON_OF_QUARTER,
     home_state: int = HOME_STATE,
 ) -> DataFrame:
     """Repaired and binned bookings: one projection, no shuffle.
 
-    ``id_width`` cuts member ids to that length. Cut ids of different members can be equal, and their
+    ``id_width`` cuts the ids to that length. Cut ids of different members can be equal, and their
     statistics then describe all of them together.
     """
     if id_width is not None:
-        df = df.withColumn("memberid", shorten(F.col("memberid"), id_width))
+        present = [c for c in id_columns if c in df.columns]
+        df = across(df, present, lambda c: shorten(c, id_width))
     df = calendar_parts(repair_nights(repair_lead(df)))
     df = fill_by_map(df, "season_holidayed_code", "checkin_quarter", seasons)
     df = fill_constants(df, {"state_code_residence": home_state})

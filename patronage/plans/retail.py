@@ -26,6 +26,11 @@ NEAR_REGIONS = ("Abu Dhabi", "Sharjah", "Dubai")
 UNSPECIFIED = "Unspecified"
 UNDEFINED = "UNDEFINED"
 
+# Columns the cleaned tables do not keep, where a source has them.
+CUSTOMER_DROPS = ("territory",)
+STORE_DROPS = ("mall_name", "store_name", "geo_field", "business", "territory")
+TRANSACTION_DROPS = ("city_name", "store_type", "business", "territory")
+
 
 def clean_customers(
     customers: DataFrame,
@@ -36,7 +41,7 @@ def clean_customers(
     stamps = stamps or {"birth_date_raw": "birth_date", "last_accr_raw": "last_accr_date"}
     df = fill_constants(customers, {"birth_date_raw": UNKNOWN_BIRTH})
     df = df.withColumns({new: calendar.parse_stamp(F.col(raw)) for raw, new in stamps.items()})
-    df = df.drop(*stamps).withColumns(
+    df = df.drop(*stamps, *CUSTOMER_DROPS).withColumns(
         {
             "job_type": labels.relabel(
                 F.col("job_type"), labels.LONG_JOB_TITLE, labels.SHORT_JOB_TITLE
@@ -59,7 +64,7 @@ def clean_stores(stores: DataFrame, age_day: dt.date = calendar.STORE_AGE_DAY) -
         store_age=calendar.age_in_days(F.col("store_launch_date"), age_day),
         rev_age=ratio(F.col("total_revenue"), F.col("store_age")),
         rev_sqft=ratio(F.col("sales_per_day"), F.col("store_size_sq_ft")),
-    ).drop("mall_name")
+    ).drop(*STORE_DROPS)
 
 
 def enrich_transactions(
@@ -68,13 +73,17 @@ def enrich_transactions(
     customers: DataFrame,
     years: Sequence[int] = REPORT_YEARS,
     week_repairs: Mapping[tuple[int, int], dt.date] = WEEK_REPAIRS,
+    store_columns: Sequence[str] = ("region", "store_format"),
+    customer_columns: Sequence[str] = ("state", "points"),
 ) -> DataFrame:
     """Transactions of the reported years with store and customer columns, calendar and amounts.
 
+    ``store_columns`` may name any cleaned or clustered store column, as ``customer_columns`` may.
     Transactions without a store or customer drop out. Catalyst moves the year filter below the joins.
     """
-    df = join_dimension(transactions, stores, "store_code", ["region", "store_format"])
-    df = join_dimension(df, customers, "customer_id", ["state", "points"])
+    kept = transactions.drop(*TRANSACTION_DROPS)
+    df = join_dimension(kept, stores, "store_code", store_columns)
+    df = join_dimension(df, customers, "customer_id", customer_columns)
     df = fill_constants(df.where(F.col("year").isin(*years)), {"return_reason": labels.NO_RETURN})
     return derive(
         df,

@@ -135,9 +135,7 @@ def ml_leaderboard(spark, folder):
 
 @query()
 def ml_blend_predictions(spark, folder):
-    train, test = _vectors(spark, folder)
     names = ("linear_1", "forest_6", "boosted_4")
     few = {n: e for n, e in regress.search_candidates(trees=TREES).items() if n in names}
-    _, winner = regress.search(train, few)
-    boosted = regress.boosted_trees(maxIter=TREES, maxDepth=5).fit(train)
-    return regress.blended(test, boosted, winner, regress.ridge_cv(train).bestModel)
+    features = booking_plan.features(views.bookings(spark, folder, spread=True))
+    return regress.spend_predictions(features, few, maxIter=TREES, maxDepth=5)

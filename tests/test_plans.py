@@ -158,3 +158,20 @@ def test_adaptive_execution_splits_a_hot_group(spark):
         for name in settings:
             spark.conf.unset(name)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_sources_with_more_columns(spark):
+    """Columns the cleaned tables do not keep are dropped where a source has them."""
+    stores = spark.createDataFrame(
+        [(1, "MX - Dubai", "STANDALONE", "name", "geo", dt.datetime(2018, 2, 1), 280.0, 10.0, 5)],
+        "store_code long, region string, mall_name string, store_name string, geo_field string, "
+        "store_launch_date timestamp_ntz, total_revenue double, sales_per_day double, store_size_sq_ft int",
+    )
+    row = retail.clean_stores(stores).first()
+    assert (row.region, row.store_format, row.store_age, row.rev_age, row.rev_sqft) == (
+        "Dubai", "Stand Alone Store", 28, 10.0, 2.0,
+    )
+    assert not {"mall_name", "store_name", "geo_field"} & set(row.asDict())
+    bookings = spark.createDataFrame([("resort-number-1",)], "resort_id string")
+    cut = bookings.select(F.col("resort_id"))
+    assert booking_plan.across(cut, ["resort_id"], lambda c: booking_plan.shorten(c, 10)).first()[0] == "resort-..."
