@@ -19,8 +19,12 @@ from patronage.session import durable
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these low bits
 
 
-def _partition_count(df: DataFrame, partitions: int | None) -> int:
-    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
+    """Range partitions in sort order, sized by AQE unless their number is given.
+
+    AQE only merges neighbours, so partition numbers still follow the order.
+    """
+    return df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
 
 
 def _partition_starts(placed: DataFrame, amount: Column) -> DataFrame:
@@ -35,7 +39,7 @@ def global_position(
 ) -> DataFrame:
     """The row's 1-based position in the whole table. ``order`` must end in a unique key."""
     placed = durable(
-        df.repartitionByRange(_partition_count(df, partitions), *order)
+        _ranged(df, order, partitions)
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id())
     )
@@ -53,11 +57,7 @@ def running_total(
     df: DataFrame, order: Sequence[Column], amount: str, name: str, partitions: int | None = None
 ) -> DataFrame:
     """The sum of ``amount`` from the first row of the whole table up to and including this one."""
-    placed = durable(
-        df.repartitionByRange(_partition_count(df, partitions), *order).withColumn(
-            "_part", F.spark_partition_id()
-        )
-    )
+    placed = durable(_ranged(df, order, partitions).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn(name, F.sum(amount).over(inside))
@@ -68,7 +68,13 @@ def running_total(
 
 
 def exact_ntile(
-    df: DataFrame, measure: str, key: str, tiles: int, name: str, descending: bool = False
+    df: DataFrame,
+    measure: str,
+    key: str,
+    tiles: int,
+    name: str,
+    descending: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Equal-sized tiles 1..``tiles`` by ``measure``, ties ordered by ``key``; a null measure gets none.
 
@@ -76,7 +82,7 @@ def exact_ntile(
     """
     column = F.col(measure)
     order = column.desc_nulls_last() if descending else column.asc_nulls_last()
-    placed = global_position(df, [order, F.col(key).asc()], "_position")
+    placed = global_position(df, [order, F.col(key).asc()], "_position", partitions)
     known = placed.agg(F.count(measure)).scalar()
     size, extra = F.floor(known / tiles), known % tiles
     rank = F.col("_position") - 1
@@ -90,7 +96,11 @@ def exact_ntile(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    groups: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group, columns ``p0``, ``p1``, … in order.
 
@@ -104,7 +114,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col("_value").asc()]
-    runs = running_total(counts, order, "_count", "_through")
+    runs = running_total(counts, order, "_count", "_through", partitions)
     runs = runs.withColumn("_before", F.col("_through") - F.col("_count"))
     edges = {"_first": F.min("_before"), "_last": F.max("_through")}
     if groups:

@@ -24,12 +24,13 @@ def skewed(spark, rows=5000):
 
 @pytest.mark.parametrize("tiles", [1, 4, 7])
 @pytest.mark.parametrize("descending", [False, True])
-def test_tiles_equal_the_builtin(spark, tiles, descending):
+@pytest.mark.parametrize("partitions", [None, 5])
+def test_tiles_equal_the_builtin(spark, tiles, descending, partitions):
     df = skewed(spark)
     order = F.col("x").desc() if descending else F.col("x").asc()
     builtin = df.where("x is not null").withColumn("t", F.ntile(tiles).over(Window.orderBy(order, "id")))
     wanted = {r.id: r.t for r in builtin.collect()}
-    found = {r.id: r.t for r in ranking.exact_ntile(df, "x", "id", tiles, "t", descending).collect()}
+    found = {r.id: r.t for r in ranking.exact_ntile(df, "x", "id", tiles, "t", descending, partitions).collect()}
     assert len(found) == 5000
     assert {k: t for k, t in found.items() if t is not None} == wanted
     sizes = np.bincount(list(wanted.values()))[1:]
@@ -47,28 +48,30 @@ def test_a_hot_value_is_split_over_partitions(spark):
     order = [F.col("x").asc(), F.col("id").asc()]
     parts = df.repartitionByRange(4, *order).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(parts) == 4 and max(r["count"] for r in parts) < 2000
-    positions = ranking.global_position(df, order, "position").collect()
+    positions = ranking.global_position(df, order, "position", 4).collect()
     assert all(r.position == r.id + 1 for r in positions)
 
 
-def test_running_total(spark):
+@pytest.mark.parametrize("partitions", [None, 6])
+def test_running_total(spark, partitions):
     df = skewed(spark).where("x is not null")
     order = [F.col("x").desc(), F.col("id").asc()]
-    found = {r.id: r.total for r in ranking.running_total(df, order, "x", "total").collect()}
+    found = {r.id: r.total for r in ranking.running_total(df, order, "x", "total", partitions).collect()}
     total = 0
     for row in sorted(df.collect(), key=lambda r: (-r.x, r.id)):
         total += row.x
         assert found[row.id] == total
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("partitions", [None, 6])
+def test_quantiles(spark, partitions):
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     df = skewed(spark).withColumn("g", F.when(F.col("id") % 3 != 0, "big").when(F.col("id") % 2 == 0, "odd"))
     rows = df.collect()
-    everything = ranking.exact_quantiles(df, "x", probabilities).first()
+    everything = ranking.exact_quantiles(df, "x", probabilities, (), partitions).first()
     wanted = np.quantile([r.x for r in rows if r.x is not None], probabilities)
     assert np.allclose(list(everything), wanted)
-    for row in ranking.exact_quantiles(df, "x", probabilities, ["g"]).collect():
+    for row in ranking.exact_quantiles(df, "x", probabilities, ["g"], partitions).collect():
         wanted = np.quantile([r.x for r in rows if r.g == row.g and r.x is not None], probabilities)
         assert np.allclose(list(row)[1:], wanted)
 
