@@ -15,3 +15,105 @@ r AS (
 )
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
 """
+
+_URLS = r"""
+u AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+)
+"""
+
+
+def _strength(table: str) -> str:
+    """The method-of-moments strength of a level's prior."""
+    return f"""(
+        SELECT least(greatest(CASE WHEN g > 0 AND s > e THEN 1 / ((s - e) / g) - 1 ELSE 1000.0 END, 2.0), 1000.0)
+        FROM (SELECT sum((bad - n * above) ** 2) AS s, sum(n * above * (1 - above)) AS e,
+                     sum(n * above * (1 - above) * (n - 1)) AS g FROM {table})
+    )"""
+
+
+OP1 = f"""
+WITH {_URLS},
+o AS (
+    SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+c AS (
+    SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+    FROM u LEFT JOIN o ON page_id = doc_id GROUP BY host
+),
+h AS (
+    SELECT *, string_split(host, '.')[-1] AS suffix,
+           array_to_string(string_split(host, '.')[-2:], '.') AS domain
+    FROM c
+),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix, domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) FROM s0) AS above FROM s0),
+s2 AS (SELECT suffix, (bad + k * above) / (n + k) AS rate FROM s1, (SELECT {_strength("s1")} AS k)),
+d1 AS (SELECT d.*, rate AS above FROM d JOIN s2 USING (suffix)),
+d2 AS (SELECT suffix, domain, (bad + k * above) / (n + k) AS rate FROM d1, (SELECT {_strength("d1")} AS k)),
+h1 AS (SELECT h.*, rate AS above FROM h JOIN d2 USING (suffix, domain)),
+h2 AS (
+    SELECT host, (bad + k * above) / (n + k) AS rate, n + k AS weight FROM h1, (SELECT {_strength("h1")} AS k)
+),
+j AS (
+    SELECT page_id, u.host, path, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) AS bound,
+           CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%'
+                THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+    FROM u JOIN h2 USING (host)
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+OP4 = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP6 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+g AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])
+                   END AS grams
+    FROM w
+),
+x AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+),
+l AS (
+    SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b
+    WHERE 100 * shared >= 75 * (len(ga.grams) + len(gb.grams) - shared)
+),
+r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = doc_id) AS component_id FROM g
+"""

@@ -102,7 +102,8 @@ class LibraryEncoder(ChunkEncoder):
         # Simple chunks can be told apart in the ids of many: at byte level only the first token of such a chunk
         # begins with a space, else the last token of each word has a mark.
         vocabulary = self._tokenizer.get_vocab()
-        self._edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.largest_id = max(vocabulary.values())
+        self._edge = np.zeros(self.largest_id + 1, dtype=bool)
         for token, number in vocabulary.items():
             self._edge[number] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
 
