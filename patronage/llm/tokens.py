@@ -15,7 +15,7 @@ import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-CACHED_CHUNKS = 250_000  # per worker, twice: chunks not seen for so many new ones are encoded again
+CACHED_CHUNKS = 500_000  # per worker, twice: chunks not seen for so many new ones are encoded again
 CACHED_CHARS = 48
 
 # A space between two other white-space characters, or between one and the end: only there does the byte-level
