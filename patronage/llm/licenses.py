@@ -20,7 +20,7 @@ from patronage.llm.license_texts import TEMPLATES
 
 GRAM = 3
 WINDOW = 3
-BAND = 12
+BAND = 12  # at most; a short template has a band of a quarter of its words
 COVERAGE = 0.75
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -83,23 +83,28 @@ class Index:
             begins.sort()
             last = None
             for begin in begins:
-                if last is None or begin - last > BAND:
+                if last is None or begin - last > band(self.words[t]):
                     out.append((t, begin))
                     last = begin
         return out
 
 
+def band(template: np.ndarray) -> int:
+    return min(BAND, max(2, len(template) // 4))
+
+
 def align(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, int, int]:
     """Most words of ``template`` matched in order near the diagonal from ``begin``: (matched, first, last + 1).
 
-    Cell d of row i stands for text word begin + i + d - BAND; words outside the text match nothing.
+    Cell d of row i stands for text word begin + i + d - band; words outside the text match nothing.
     """
-    width = 2 * BAND + 1
+    half = band(template)
+    width = 2 * half + 1
     score = np.zeros(width, dtype=np.int64)
     first = np.full(width, -1, dtype=np.int64)
     last = np.full(width, -1, dtype=np.int64)
     for i, word in enumerate(template.tolist()):
-        at = begin + i - BAND
+        at = begin + i - half
         places = np.arange(at, at + width)
         inside = (places >= 0) & (places < len(text))
         equal = np.zeros(width, dtype=bool)

@@ -43,7 +43,7 @@ def search(
 
     Ties go to the smaller id. Both matrices hold integers as doubles, one row per vector.
     """
-    edges = range(0, queries.shape[1], DIMENSIONS)
+    edges = range(0, max(1, queries.shape[1]), DIMENSIONS)
     vertical = [np.ascontiguousarray(vectors[:, a : a + DIMENSIONS].T) for a in edges]
     own = [np.ascontiguousarray(queries[:, a : a + DIMENSIONS].T) for a in edges]
     rest, own_rest = _remainders(vertical), _remainders(own)
@@ -51,10 +51,10 @@ def search(
     exact = largest < _EXACT
     found: tuple[list, list, list] = ([], [], [])
     for step in range(0, len(query_ids), 256):
-        first = own[0][:, step : step + 256].T @ vertical[0] if vertical else None
+        first = own[0][:, step : step + 256].T @ vertical[0]
         for q in range(step, min(step + 256, len(query_ids))):
             alive = np.flatnonzero(vec_ids != query_ids[q])
-            score = first[q - step][alive] if first is not None else np.zeros(len(alive))
+            score = first[q - step][alive]
             for block in range(len(vertical)):
                 if block:
                     score = score + own[block][:, q] @ vertical[block][:, alive]
