@@ -18,11 +18,11 @@ import numpy as np
 
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD, _UP = np.uint64(48), np.uint64(16)
-_CONTEXTS = 2048  # slots of a lane's table of predictions, per order
-_NODES = 512  # slots for a group of four bits under its context
+_CONTEXTS = 1024  # slots of a lane's table of predictions, per order
+_NODES = 256  # slots for a group of four bits under its context
 _FULL = 1 << 13  # frequencies are halved beyond this sum
 _HELD = 3  # highest count of how often a prediction held
-LANES = 1024
+LANES = 2048
 
 
 class _Coder:
@@ -34,7 +34,7 @@ class _Coder:
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.predicted = [np.zeros(lanes * _CONTEXTS, dtype=np.uint32) for _ in range(2)]
         self.held = [np.zeros(lanes * _CONTEXTS, dtype=np.uint8) for _ in range(2)]
-        self.mixing = np.ones((lanes * 32, 3), dtype=np.int64)
+        self.mixing = np.ones((lanes * 32, 3), dtype=np.uint16)
         self.mixing[:, 2] = 4
         self.bits = np.ones((lanes * groups * _NODES, 16), dtype=np.uint16)
         self.lane = np.arange(lanes)
@@ -74,19 +74,18 @@ class _Coder:
         self.range[lanes] = own.astype(np.uint64) * unit
 
     def settled(self, lanes: np.ndarray):
-        """Gives, again and again, the lanes that can shift out 16 bits, until none can."""
-        while len(lanes):
+        """Gives, again and again, the lanes whose range got short and their low end, to shift out 16 bits.
+
+        A range that still crosses a border of the bits to be shifted out is cut at the next one.
+        """
+        while len(lanes := lanes[self.range[lanes] < _BOTTOM]):
             low, span = self.low[lanes], self.range[lanes]
-            same = (low ^ (low + span)) < _TOP
-            short = ~same & (span < _BOTTOM)
-            go = same | short
-            if not go.any():
-                return
-            span = np.where(short, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), span)
-            lanes, low = lanes[go], low[go]
+            crosses = (low ^ (low + span)) >= _TOP
+            if crosses.any():
+                span = np.where(crosses, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), span)
             yield lanes, low
             self.low[lanes] = low << _UP
-            self.range[lanes] = span[go] << _UP
+            self.range[lanes] = span << _UP
 
 
 def _order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +123,8 @@ def encode(blocks: list[np.ndarray], groups: int) -> list[bytes]:
         slots, predicted, sure, row = c.predict(n)
         outcome = np.where(now == predicted[0], 0, np.where(now == predicted[1], 1, 2))
         weights = c.mixing[row]
-        sums = np.cumsum(weights, axis=1)
-        own = weights[lanes, outcome]
+        sums = np.cumsum(weights, axis=1, dtype=np.int64)
+        own = weights[lanes, outcome].astype(np.int64)
         put(lanes, sums[lanes, outcome] - own, own, sums[:, 2])
         c.adapt(c.mixing, row, outcome, sums[:, 2], 24)
         lanes = np.flatnonzero(outcome == 2)
@@ -135,8 +134,8 @@ def encode(blocks: list[np.ndarray], groups: int) -> list[bytes]:
                 shift = 4 * (groups - 1 - group)
                 symbol = value >> shift & 15
                 node = c.node(lanes, group, value >> (shift + 4))
-                weights = c.bits[node].astype(np.int64)
-                sums = np.cumsum(weights, axis=1)
+                weights = c.bits[node]
+                sums = np.cumsum(weights, axis=1, dtype=np.int64)
                 own = weights[pick, symbol]
                 put(lanes, sums[pick, symbol] - own, own, sums[:, 15])
                 c.adapt(c.bits, node, symbol, sums[:, 15], 32)
@@ -171,7 +170,7 @@ def decode(coded: list[bytes], counts: np.ndarray, groups: int) -> list[np.ndarr
     ids = np.zeros((int(counts.max(initial=0)), len(coded)), dtype=np.int64)
 
     def take(lanes, weights):
-        sums = np.cumsum(weights, axis=1)
+        sums = np.cumsum(weights, axis=1, dtype=np.int64)
         total = sums[:, -1]
         unit = c.range[lanes] // total.astype(np.uint64)
         place = np.minimum((code[lanes] - c.low[lanes]) // unit, (total - 1).astype(np.uint64)).astype(np.int64)
@@ -194,7 +193,7 @@ def decode(coded: list[bytes], counts: np.ndarray, groups: int) -> list[np.ndarr
             value = np.zeros(len(lanes), dtype=np.int64)
             for group in range(groups):
                 node = c.node(lanes, group, value)
-                symbol, total = take(lanes, c.bits[node].astype(np.int64))
+                symbol, total = take(lanes, c.bits[node])
                 c.adapt(c.bits, node, symbol, total, 32)
                 value = value << 4 | symbol
             now[lanes] = value

@@ -22,8 +22,8 @@ from patronage.llm.tokens import BYTE_BPE, encoder
 from patronage.session import fresh_folder
 
 END_ID = 2
-BLOCK_IDS = 4096
-SEGMENT_IDS = 64 * BLOCK_IDS  # a segment closes with the document that reaches it
+BLOCK_IDS = 2048
+SEGMENT_IDS = 128 * BLOCK_IDS  # a segment closes with the document that reaches it
 
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sHHIQ")  # magic, version, groups of four bits, documents, ids
