@@ -32,12 +32,15 @@ def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
-    quantiles = exact_quantiles(long, "value", QUARTERS, ["column"]).withColumnsRenamed(
+    # The rows are read once: everything comes from how often a column has each value, null included.
+    counted = durable(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    quantiles = exact_quantiles(counted, "value", QUARTERS, ["column"], weight="n").withColumnsRenamed(
         {f"p{i}": name for i, name in enumerate(QUARTER_NAMES)}
     )
-    rest = long.groupBy("column").agg(
-        F.avg("value").alias("mean"),
-        F.count_if(F.col("value").isNull()).cast("double").alias("missing"),
+    weight = F.col("n")
+    rest = counted.groupBy("column").agg(
+        (F.sum(F.col("value") * weight) / F.sum(F.when(F.col("value").isNotNull(), weight))).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), weight)), F.lit(0)).cast("double").alias("missing"),
     )
     wide = null_safe_join(rest, quantiles, ["column"])
     return wide.unpivot(["column"], [*QUARTER_NAMES, "mean", "missing"], "measure", "value")

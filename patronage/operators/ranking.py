@@ -101,9 +101,12 @@ def exact_quantiles(
     probabilities: Sequence[float],
     groups: Sequence[str] = (),
     partitions: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group, columns ``p0``, ``p1``, … in order.
 
+    A row counts as often as ``weight`` says, once by default.
+
     Works on (group, value, count) rows, so equal values meet before the first shuffle, and finds each
     rank from running counts, so no task holds the values of a whole group.
     """
@@ -111,7 +114,7 @@ def exact_quantiles(
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_count"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count"))
     )
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col("_value").asc()]
     runs = running_total(counts, order, "_count", "_through", partitions)

@@ -138,14 +138,23 @@ def member_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def attach_member_stats(df: DataFrame) -> DataFrame:
-    """Both sets of member statistics on every booking, through one join.
+STATISTICS_INPUT = (
+    *MEMBER_RESORT,
+    "is_train",
+    *dict.fromkeys(column for _, column in MEMBER_STATS.values()),
+    *dict.fromkeys(key for keys in ENCODINGS.values() for key in keys),
+)
+
+
+def attach_member_stats(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Both sets of member statistics on every booking, through one join. ``source`` holds the same bookings with
+    at least the columns of the statistics, where those are cheaper to read.
 
     The bookings are aggregated once, per member and resort kind; the member's own statistics are rolled
     up from that smaller table, and the two are put together before they meet the bookings.
     """
     fine = durable(
-        df.groupBy(*MEMBER_RESORT).agg(
+        (source or df).groupBy(*MEMBER_RESORT).agg(
             *[_extreme(which, column).alias(name) for name, (which, column) in MEMBER_STATS.items()],
             F.count(F.lit(1)).alias("total_visit"),
         )
@@ -178,12 +187,12 @@ def encodings(cleaned: DataFrame, target: str) -> dict[str, DataFrame]:
 def features(bookings: DataFrame, target: str = "amount", id_width: int | None = None) -> DataFrame:
     """All features of every booking.
 
-    The cleaning is a plain projection, so each of the statistics re-reads only its few source columns;
-    that costs less than keeping the wide cleaned rows. Bookings that are expensive to compute should be
-    made durable before.
+    The bookings are computed twice: once for the columns that statistics are taken from, which are kept, and
+    once for the rows that all statistics are joined to.
     """
     cleaned = clean(bookings, id_width)
-    out = attach_member_stats(cleaned)
-    for table in encodings(cleaned, target).values():
+    narrow = durable(cleaned.select(*dict.fromkeys([*STATISTICS_INPUT, target])))
+    out = attach_member_stats(cleaned, narrow)
+    for table in encodings(narrow, target).values():
         out = natural_left_join(out, durable(table))
     return out

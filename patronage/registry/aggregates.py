@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patronage.functions import labels
+from patronage.functions.missing import strict
 from patronage.operators import aggregate, fills, profile
 from patronage.operators.ranking import exact_quantiles
 from patronage.plans import bookings as booking_plan
@@ -103,13 +104,9 @@ def agg_mean_nonnull(spark, folder):
 )
 def agg_null_strict(spark, folder):
     df = views.bookings(spark, folder)
-    amount = F.col("amount")
-    strict = aggregate.grouped_sum(df, ["memberid"], amount, "strict_sum")
-    known = aggregate.grouped_sum(df, ["memberid"], amount, "known_sum", skip_missing=True)
-    return strict.join(known, "memberid").select(
-        "memberid",
-        F.col("strict_sum").cast("double").alias("strict_sum"),
-        F.col("known_sum").cast("double").alias("known_sum"),
+    total = F.sum("amount").cast("double")
+    return df.groupBy("memberid").agg(
+        strict(total, F.col("amount")).alias("strict_sum"), total.alias("known_sum")
     )
 
 

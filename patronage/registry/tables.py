@@ -50,6 +50,18 @@ def src_csv_roundtrip(spark, folder):
     return delimited.read_delimited(spark, path, df.schema)
 
 
+@query(
+    """SELECT doc_id, '  "' || source || '", ' || text || chr(10) || 'end ' AS text FROM documents"""
+)
+def src_csv_text_roundtrip(spark, folder):
+    """Whole texts with quotes, commas, padding and line breaks."""
+    text = F.concat(F.lit('  "'), "source", F.lit('", '), "text", F.lit("\nend "))
+    df = tables.table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    path = fresh_folder(spark, "texts-csv")
+    delimited.write_delimited(df, path)
+    return delimited.read_delimited(spark, path, df.schema)
+
+
 # ---- joins ----
 
 
@@ -386,7 +398,7 @@ _FEATURES = ", ".join(
         WINDOW m AS (PARTITION BY memberid), r AS (PARTITION BY memberid, resort_region_code, resort_type_code)"""
 )
 def booking_features(spark, folder):
-    return booking_plan.features(views.bookings(spark, folder, spread=True))
+    return booking_plan.features(views.bookings(spark, folder))
 
 
 # ---- encodings of stores ----

@@ -11,20 +11,33 @@ from pyspark.sql.types import StringType, StructType
 from patronage.functions.missing import MISSING_TEXT
 from patronage.operators.columns import across
 
+ROWS_IN_FILE = 500_000  # a file is read by one task
+
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Reads with the declared types: no inference pass over the data.
 
-    ``NA`` and an empty field are both missing.
+    ``NA`` and an empty field are both missing. Quotes inside a field are doubled, and a field in quotes may hold
+    line breaks and leading or trailing spaces. As a line break doesn't always end a row, a file is read by one
+    task, so part files should stay small. A row that doesn't fit the schema stops the job.
     """
-    df = spark.read.schema(schema).option("header", True).option("nullValue", MISSING_TEXT).csv(path)
+    df = (
+        spark.read.schema(schema)
+        .options(header=True, nullValue=MISSING_TEXT, mode="FAILFAST", multiLine=True, quote='"', escape='"')
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1)
+        .csv(path)
+    )
     texts = [f.name for f in schema if isinstance(f.dataType, StringType)]
     return across(df, texts, lambda c: F.nullif(c, F.lit("")))
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
-    """Writes a folder of part files, one per partition; fails if it exists."""
-    df.write.option("header", True).option("nullValue", MISSING_TEXT).csv(path)
+    """Writes a folder of part files; fails if it exists. Texts keep their spaces, quotes and line breaks."""
+    (
+        df.write.options(header=True, nullValue=MISSING_TEXT, quote='"', escape='"', maxRecordsPerFile=ROWS_IN_FILE)
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )
 
 
 def stamped(folder: str, name: str, at: dt.datetime) -> str:

@@ -29,21 +29,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-MOST_SPREAD = 8  # at this many splits or more a scan keeps them
-
-
-def fact_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table read by at least a few tasks, however few splits its files allow.
-
-    A file of one row group is read by one task, and without a shuffle all later work would stay in that
-    task. Only a scan of fewer than ``MOST_SPREAD`` splits, at most about a gigabyte, is spread; filters and
-    column choices still reach the files.
-    """
-    df = table(spark, folder, name)
-    wanted = min(MOST_SPREAD, spark.sparkContext.defaultParallelism)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(table_name, n) for every table; Parquet answers counts from its footers."""
     counts = [

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.labels import REGION_PREFIX, RETURN_TYPE, STANDALONE
-from patronage.sources.tables import fact_table, table
+from patronage.sources.tables import table
 
 PURCHASE_TYPE = "Purchase"
 RETURN_REASONS = ("Size Problem", "Fit Problem", "Zip Defect", "Adhesive", "Gift Exchange", "Color Exchange")
@@ -79,8 +79,10 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _last_code(supplier: DataFrame) -> Column:
-    return supplier.agg(F.max("s_suppkey")).scalar()
+def _test_codes(supplier: DataFrame) -> Column:
+    """The highest codes there are, as one array."""
+    highest = supplier.select("s_suppkey").distinct().orderBy(F.desc("s_suppkey")).limit(TEST_STORES)
+    return highest.agg(F.array_sort(F.collect_list("s_suppkey"))).scalar()
 
 
 def stores(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +103,7 @@ def stores(spark: SparkSession, folder: str) -> DataFrame:
             revenue.alias("total_revenue"),
             (revenue.cast("double") / 30).alias("sales_per_day"),
             ((code % 5) * 100).cast("int").alias("store_size_sq_ft"),
-            F.when(code > _last_code(supplier) - TEST_STORES, "Test")
+            F.when(F.array_contains(_test_codes(supplier), code), "Test")
             .otherwise("Train")
             .alias("train_test_store"),
         )
@@ -110,8 +112,7 @@ def stores(spark: SparkSession, folder: str) -> DataFrame:
 
 def test_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer with each of the test stores (the four highest codes); codes come as text."""
-    last = _last_code(table(spark, folder, "supplier"))
-    codes = F.sequence(last - (TEST_STORES - 1), last).cast("array<string>")
+    codes = _test_codes(table(spark, folder, "supplier")).cast("array<string>")
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("customer_id"), F.explode(codes).alias("store_code")
     )
@@ -120,9 +121,8 @@ def test_pairs(spark: SparkSession, folder: str) -> DataFrame:
 test_pairs.__test__ = False  # not a test, whatever its name suggests to a collector
 
 
-def bookings(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
-    """``spread`` is for jobs with much work per row, see :func:`fact_table`."""
-    lines = (fact_table if spread else table)(spark, folder, "lineitem")
+def bookings(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     order, number = F.col("l_orderkey"), F.col("l_linenumber")
     part, supplier, customer = F.col("l_partkey"), F.col("l_suppkey"), F.col("o_custkey")

@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from patronage.functions import arithmetic, calendar, labels, missing, text
 from patronage.operators import aggregate, fills, joins, profile, ranking, reshape
+from patronage.plans import retail
+from patronage.sources import delimited
 
 
 def values(df, *names):
@@ -160,6 +163,33 @@ def test_pivot_then_unpivot_is_the_input(spark):
     assert sorted(values(filled, "k", "x", "y")) == [("a", 1, 2), ("b", 3, 0)]
 
 
+def test_pivot_loses_no_label(spark):
+    rows = [("a", "x", 3), ("a", "torn", 1), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "k string, c string, v long")
+    wide = reshape.spread(df, ["k"], "c", ["x", "y"], F.sum("v"), fill=0)
+    assert wide.columns == ["k", "x", "y", "NA", "torn"]
+    assert [tuple(r) for r in wide.collect()] == [("a", 3, 0, 4, 1)]
+
+
+def test_unlisted_return_reasons_keep_their_share(spark):
+    rows = [("r", "Return", "Torn", 3), ("r", "Return", "Others", 1), ("r", "Return", None, 4)]
+    df = spark.createDataFrame(rows, "region string, transaction_type string, return_group string, item_count long")
+    (row,) = retail.region_reason_shares(df, ["Others", "No Return"]).collect()
+    assert row.asDict() == {"region": "r", "Others": 0.125, "No Return": 0.0, "NA": 0.5, "Torn": 0.375}
+
+
+def test_delimited_files_keep_texts(spark, tmp_path):
+    rows = [(1, 'say "so"'), (2, "  pad "), (3, "one\ntwo"), (4, 'comma, "and" quote\\'), (5, None), (6, '"')]
+    df = spark.createDataFrame(rows, "k int, t string")
+    delimited.write_delimited(df, str(tmp_path / "csv"))
+    back = delimited.read_delimited(spark, str(tmp_path / "csv"), df.schema)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.csv").write_text("k,t\nnot a number,x\n")
+    with pytest.raises(Exception):
+        delimited.read_delimited(spark, str(tmp_path / "bad"), df.schema).collect()
+
+
 def test_sparse_rows_add_repeated_pairs(spark):
     df = spark.createDataFrame([(1, 7, 2.0), (1, 7, 3.0), (1, 4, -1.0), (2, 4, 8.0)], "r int, c int, v double")
     rows = {r.r: (r["columns"], r["cells"]) for r in reshape.sparse_rows(df, "r", "c", "v").collect()}

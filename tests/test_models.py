@@ -61,11 +61,20 @@ def test_predictions_ignore_rounding_noise(matrix):
     }
 
 
-def test_too_many_stores_ask_for_a_number(matrix, monkeypatch):
-    monkeypatch.setattr(affinity, "MAX_FULL_STORES", 3)
-    with pytest.raises(ValueError):
-        affinity.decompose(matrix)
+def test_few_values_of_many_stores(matrix, spark):
     assert len(affinity.decompose(matrix, k=1).values) == 1
+    cells = spark.range(70_000).selectExpr("id % 50 as customer_id", "id as store_code", "1.0D + id % 50 as value")
+    found = affinity.decompose(cells, k=2)
+    assert len(found.stores) == 70_000 and found.vectors.shape == (70_000, 2)
+    # The customers' rows have no store in common, so the singular values are their lengths.
+    lengths = [r[0] ** 0.5 for r in cells.groupBy("customer_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).select("s").collect()]
+    assert np.allclose(found.values, sorted(lengths)[::-1][:2])
+
+
+def test_values_are_added_until_the_share_is_reached(matrix):
+    found = affinity.decompose_share(matrix, 0.9)
+    assert (found.values**2).sum() >= 0.9 * found.total
+    assert found.rank_for(0.9) == affinity.decompose(matrix).rank_for(0.9)
 
 
 @pytest.fixture(scope="module")
@@ -89,11 +98,6 @@ def test_best_of_restarts_and_elbow(stores):
     assert costs[8] < costs[2]
 
 
-def test_levels_are_bounded(stores):
-    with pytest.raises(ValueError):
-        segments.levels_of(stores, "region", limit=1)
-
-
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 3.0), (4.0, 3.0)], "a double, b double")
     ranged = encode.range_scale(df, ["a", "b"]).collect()
@@ -131,18 +135,24 @@ def test_ridge_save_and_load(vectors, tmp_path):
 def test_search_and_blend(vectors):
     train, test = vectors
     few = {n: e for n, e in regress.search_candidates(trees=2).items() if n in ("linear_1", "forest_4")}
-    board, winner = regress.search(train, few)
-    errors = [r.rmse for r in board.orderBy("place").collect()]
+    board = regress.leaderboard(train, few)
+    errors = [error for _, _, error in board]
     assert errors == sorted(errors) and len(errors) == 2
-    boosted = regress.boosted_trees(maxIter=2, maxDepth=2).fit(train)
+    winner = regress.search(train, few)
+    boosted = regress.fit(regress.boosted_trees(maxIter=2, maxDepth=2), train)
     ridge = regress.ridge_cv(train, strengths=(1.0,), folds=5).bestModel
     out = regress.blended(test, boosted, winner, ridge)
     mix = 0.55 * F.col("boosted") + 0.40 * F.col("winner") + 0.05 * F.col("ridge")
     assert out.where(F.abs(mix - F.col("prediction")) > 1e-6).count() == 0
     assert out.count() == test.count()
-    with pytest.raises(ValueError):
-        regress.search(train, {str(i): None for i in range(11)})
 
 
-def test_ten_candidates_at_most():
-    assert len(regress.search_candidates()) == regress.MAX_MODELS
+def test_ten_candidates():
+    assert len(regress.search_candidates()) == 10
+
+
+def test_trees_get_a_bin_for_every_level(vectors):
+    train, _ = vectors
+    model = regress.fit(regress.boosted_trees(maxIter=1, maxDepth=2), train)
+    levels = [a.get("num_vals") or len(a["vals"]) for a in train.schema[regress.TREE_INPUT].metadata["ml_attr"]["attrs"]["nominal"]]
+    assert model.getMaxBins() >= max(levels)
