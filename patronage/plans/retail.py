@@ -73,8 +73,8 @@ def enrich_transactions(
     customers: DataFrame,
     years: Sequence[int] = REPORT_YEARS,
     week_repairs: Mapping[tuple[int, int], dt.date] = WEEK_REPAIRS,
-    store_columns: Sequence[str] = ("region", "store_format"),
-    customer_columns: Sequence[str] = ("state", "points"),
+    store_columns: Sequence[str] = ("region", "store_format", "sales_per_day"),
+    customer_columns: Sequence[str] = ("state", "points", "nationality_group"),
 ) -> DataFrame:
     """Transactions of the reported years with store and customer columns, calendar and amounts.
 

@@ -142,7 +142,7 @@ def _enriched(spark, folder):
     return retail.enrich_transactions(
         views.transactions(spark, folder),
         retail.clean_stores(views.stores(spark, folder)),
-        views.customers(spark, folder),
+        retail.clean_customers(views.customers(spark, folder), rare_limit=60),
         YEARS,
         WEEK_REPAIRS,
     )
@@ -296,8 +296,8 @@ def rsh_customer_store_matrix(spark, folder):
 
 
 @query(
-    """SELECT customer_id, store_code, region, store_format, state, points, transaction_type, return_reason,
-              return_group, year, week, week_start, year_quarter, y_m, is_return, item_count, units_sold,
+    """SELECT customer_id, store_code, region, store_format, sales_per_day, state, points, nationality_group,
+              transaction_type, return_reason, return_group, year, week, week_start, year_quarter, y_m, is_return, item_count, units_sold,
               extra_items, revenue, discount, CAST(gross AS DOUBLE) AS gross FROM v_enriched"""
 )
 def enrich_transactions(spark, folder):

@@ -82,7 +82,8 @@ VIEWS = {
                   END AS year_quarter,
                strftime(week_start, '%Y-%m') AS y_m
         FROM (
-          SELECT t.customer_id, t.store_code, s.region, s.store_format, c.state, c.points,
+          SELECT t.customer_id, t.store_code, s.region, s.store_format, s.sales_per_day, c.state, c.points,
+               c.nationality_group,
                transaction_type, reason_filled AS return_reason,
                CASE WHEN reason_filled IN ('Size Problem', 'Ordered wrong size', 'Fit Problem') THEN 'Size.Problem'
                     WHEN reason_filled IN ('Mfg. Defect', 'Adhesive', 'Accessory/Trim', 'Zip Defect', 'Warranty',
@@ -100,8 +101,12 @@ VIEWS = {
           FROM v_enriched_all t
           JOIN (SELECT store_code, replace(region, 'MX - ', '') AS region,
                        CASE WHEN mall_name = 'STANDALONE' THEN 'Stand Alone Store' ELSE 'Mall Store' END
-                       AS store_format FROM fx_stores) s ON t.store_code = s.store_code
-          JOIN fx_customers c ON t.customer_id = c.customer_id
+                       AS store_format, sales_per_day FROM fx_stores) s ON t.store_code = s.store_code
+          JOIN (SELECT customer_id, state, points,
+                       CASE WHEN n < 60 THEN 'Others' WHEN nationality = 'Unspecified' THEN 'UNDEFINED'
+                            ELSE nationality END AS nationality_group
+                FROM (SELECT *, count(*) OVER (PARTITION BY nationality) AS n FROM fx_customers)) c
+            ON t.customer_id = c.customer_id
           WHERE year IN (1996, 1997))""",
     "v_rfm": """
         SELECT r.customer_id, recency, frequency, monetary
