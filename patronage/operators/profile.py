@@ -21,6 +21,12 @@ def null_census(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column", "missing")
 
 
+def missing_share(df: DataFrame) -> DataFrame:
+    """The share of missing values per column, as (column, share) rows, from one pass."""
+    share = [F.try_divide(F.count_if(F.col(c).isNull()).cast("double"), F.count(F.lit(1))).alias(c) for c in df.columns]
+    return df.agg(*share).unpivot([], df.columns, "column", "share")
+
+
 def null_patterns(df: DataFrame) -> DataFrame:
     """Rows per combination of missing columns; a pattern has a 1 for each missing column, in order."""
     flags = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])

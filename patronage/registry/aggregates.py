@@ -283,6 +283,16 @@ def prof_null_census(spark, folder):
     return profile.null_census(views.customers(spark, folder))
 
 
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS share FROM fx_customers"""
+        for c in _CUSTOMER_COLUMNS
+    )
+)
+def prof_missing_share(spark, folder):
+    return profile.missing_share(views.customers(spark, folder))
+
+
 @query(
     "SELECT concat("
     + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in _CUSTOMER_COLUMNS)

@@ -29,6 +29,18 @@ def ml_kmeans_labels(spark, folder):
     return labelled.select("store_code", "region", "store_format", "cluster")
 
 
+@query("SELECT count(*) AS stores, count(DISTINCT store_code) AS labelled, true AS in_range FROM fx_stores")
+def ml_kmeans_cover(spark, folder):
+    """Every store has exactly one label, from 1 to the number of clusters."""
+    cluster = F.col("cluster")
+    inside = F.coalesce(cluster.between(1, segments.CLUSTERS), F.lit(False))
+    return ml_kmeans_labels(spark, folder).agg(
+        F.count(F.lit(1)).alias("stores"),
+        F.countDistinct("store_code").alias("labelled"),
+        F.min(inside).alias("in_range"),
+    )
+
+
 @query()
 def ml_elbow(spark, folder):
     return segments.elbow_curve(_store_features(spark, folder))
@@ -66,6 +78,18 @@ def ml_svd_singular_values(spark, folder):
     return affinity.energy(affinity.decompose(matrix), matrix).select("position", "singular_value")
 
 
+@query(
+    """SELECT round(sum(value * value) / 1e6, 2) AS squares FROM (
+           SELECT CAST(sum(revenue) AS DOUBLE) AS value FROM fx_transactions GROUP BY customer_id, store_code)"""
+)
+def ml_svd_total(spark, folder):
+    """The squared singular values add up to the squared cells."""
+    matrix = _matrix(spark, folder)
+    values = affinity.energy(affinity.decompose(matrix), matrix).select("singular_value")
+    squares = F.sum(F.col("singular_value") * F.col("singular_value"))
+    return values.agg(F.round(squares / 1e6, 2).alias("squares"))
+
+
 @query()
 def ml_svd_energy(spark, folder):
     matrix = _matrix(spark, folder)
