@@ -158,7 +158,7 @@ def fit_chain(found: list[list[int]], y: np.ndarray, names: list[str], categorie
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: int) -> DataFrame:
-    """(_row, categories, _features) of the labelled documents that are fitted on."""
+    """(doc_id, categories, _features) of the labelled documents that are fitted on."""
     marks = [F.max(F.col(c).cast("int")).alias(c) for c in categories]
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*marks).dropna()
     # Bounded by ``rows``, so it may be sent to every task.
@@ -172,8 +172,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows
             arrays = [batch.column(0).cast(pa.int64()), *(batch.column(2 + k) for k in range(len(categories))), found]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *categories, "_features"])
 
-    found = durable(kept.select("doc_id", "text", *categories).mapInArrow(run, schema))
-    return found.withColumn("_row", F.monotonically_increasing_id())
+    return durable(kept.select("doc_id", "text", *categories).mapInArrow(run, schema))
 
 
 def fit(
@@ -193,7 +192,7 @@ def fit(
     n, positive = totals[0] or 0, [t or 0 for t in totals[1:]]
     if not n:
         return fit_chain([], np.zeros((0, len(categories))), [], categories)
-    pairs = sample.select("_row", *categories, F.explode("_features").alias("_feature"))
+    pairs = sample.select(*categories, F.explode("_features").alias("_feature"))
     counts = pairs.groupBy("_feature").agg(
         F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_with_{k}") for k, c in enumerate(categories))
     )
