@@ -289,6 +289,7 @@ def test_linked_groups_against_all_pairs(spark, monkeypatch, block, common):
     texts += ["a b c d e f g h i"] * 3
     rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "OPEN_SETS", block)
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int").repartition(3)
     found = jaccard_join.link(docs).collect()
