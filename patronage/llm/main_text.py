@@ -1,20 +1,25 @@
 """Main text of web pages: what the mark-up says, and for all else a suffix array per host.
 
 A page's blocks are of three kinds. Content lies in an ``article`` or ``main`` element; furniture lies in elements
-that name another role (menus, footers, forms, adverts, comments, ...); all else is open. A page with content is
-its content: an article stays whole, even where pages quote each other.
+that name another role (menus, footers, forms, adverts, comments, ...); all else is open. The text of a page with
+content is taken from its content, that of other pages from the open blocks.
 
-On other pages the open blocks are judged by repetition. The furniture and open blocks of a host's pages are one
-stream of tokens; its suffixes, sorted by prefix doubling, show which runs of ``RUN_TOKENS`` tokens or more occur on
-several pages. Tokens covered by such runs are boilerplate, the unique runs between them stay. A page that would
-lose everything is a copy of another page, not boilerplate, and keeps its open blocks.
+Both are judged by repetition. The blocks of a host's pages are one stream of tokens, the content of a page apart from
+the rest; its suffixes, sorted by prefix doubling, show how many pages have each window of ``RUN_TOKENS`` tokens.
+
+Open tokens in windows that several pages have outside their content are boilerplate, the unique runs between them
+stay. A page that would lose everything is a copy of another page, not boilerplate, and keeps its open blocks.
+
+Content is kept with more care, as articles quote and copy each other: only windows that ``CONTENT_PAGES`` pages or more
+have count there, and only where all tokens in them are at most ``CONTENT_SHARE`` of the page's content. So a share line
+or a notice goes, while an article that many pages copy, with changes or without, stays whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,8 @@ from patronage.session import durable
 
 CONTENT, OPEN, FURNITURE = 0, 1, 2
 RUN_TOKENS = 8
+CONTENT_PAGES = 10
+CONTENT_SHARE = 0.25
 GROUP_CHARS = 16_000_000  # of mark-up in one suffix array, about; a larger host is dealt over several
 
 _MARKUP = re.compile(
@@ -146,16 +153,16 @@ def parse(source: str | None) -> list[tuple[int, str]]:
     return blocks
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
-    """Which tokens lie in a run of ``length`` tokens or more that occurs on several pages.
+def windows(tokens: np.ndarray, segment: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of ``length`` tokens begin that lie in one segment, and a number from 0 for what each reads.
 
-    ``tokens`` are the pages' tokens one after the other, ``page`` the page of each. Ranks of suffixes by their
-    first 1, 2, 4, ... tokens come from sorting pairs of ranks; a run ends with its page.
+    ``tokens`` are the segments' tokens one after the other, ``segment`` the segment of each. Ranks of suffixes by their
+    first 1, 2, 4, ... tokens come from sorting pairs of ranks. The windows are sorted by number, then by place.
     """
     n = len(tokens)
     if n < length:
-        return np.zeros(n, dtype=bool)
-    last = np.append(np.flatnonzero(page[1:] != page[:-1]), n - 1)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    last = np.append(np.flatnonzero(segment[1:] != segment[:-1]), n - 1)
     end = np.repeat(last + 1, np.diff(np.append(-1, last)))
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     span = 1
@@ -167,44 +174,82 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
         span += step
     whole = np.flatnonzero(np.arange(n) + length <= end)
-    order = whole[np.lexsort((whole, rank[whole]))]
-    same = np.append(False, rank[order][1:] == rank[order][:-1])
-    group = np.cumsum(~same) - 1
-    if not len(order):
-        return np.zeros(n, dtype=bool)
-    starts = np.flatnonzero(~same)
-    several = np.minimum.reduceat(page[order], starts) < np.maximum.reduceat(page[order], starts)
-    hit = order[several[group]]
+    order = whole[np.argsort(rank[whole], kind="stable")]
+    return order, np.cumsum(np.append(0, rank[order][1:] != rank[order][:-1]))[: len(order)]
+
+
+def pages_of(group: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
+    """How many pages each of ``n`` groups has; ``group`` and the pages in a group rise."""
+    if not len(group):
+        return np.zeros(n, dtype=np.int64)
+    new = np.append(True, (group[1:] != group[:-1]) | (page[1:] != page[:-1]))
+    return np.bincount(group[new], minlength=n)
+
+
+def covered(places: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in the windows that begin at ``places``."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + length, -1)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + length, -1)
     return np.cumsum(edge)[:n] > 0
 
 
-def unique_runs(pages: list[list[tuple[int, str]]], length: int = RUN_TOKENS) -> list[str]:
-    """The text of each page of one host, of blocks that are open and tokens that no repeated run covers."""
-    words: list[str] = []
-    spans: list[list[tuple[int, int, int]]] = []
-    page: list[int] = []
-    for number, blocks in enumerate(pages):
-        own = []
-        for kind, text in blocks:
-            parts = text.split(" ")
-            own.append((kind, len(words), len(words) + len(parts)))
-            words += parts
-            page += [number] * len(parts)
-        spans.append(own)
-    covered = repeated(pd.factorize(pd.Series(words, dtype=object))[0], np.array(page, dtype=np.int64), length)
-    out = []
-    for own in spans:
-        kept, whole = [], []
-        for kind, a, b in own:
-            if kind == OPEN:
-                whole.append(" ".join(words[a:b]))
-                if left := [w for w, c in zip(words[a:b], covered[a:b]) if not c]:
-                    kept.append(" ".join(left))
-        out.append("\n\n".join(kept or whole))
-    return out
+def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
+    """Which tokens lie in a run of ``length`` tokens or more that occurs on several pages."""
+    places, group = windows(tokens, page, length)
+    several = pages_of(group, page[places], len(places)) > 1
+    return covered(places[several[group]], length, len(tokens))
+
+
+class Stream:
+    """The tokens of a host's pages, each page's content after its other blocks, and how many pages have each window."""
+
+    def __init__(self, pages: Iterable[list[tuple[int, str]]], length: int = RUN_TOKENS):
+        self.length = length
+        self.words: list[str] = []
+        self.spans: list[list[tuple[int, int, int]]] = []
+        lengths: list[int] = []
+        for blocks in pages:
+            own = []
+            for content in (False, True):
+                before = len(self.words)
+                for kind, text in blocks:
+                    if (kind == CONTENT) == content:
+                        parts = text.split(" ")
+                        own.append((kind, len(self.words), len(self.words) + len(parts)))
+                        self.words += parts
+                lengths.append(len(self.words) - before)
+            self.spans.append(own)
+        segment = np.repeat(np.arange(len(lengths)), lengths)
+        self.tokens, self.names = pd.factorize(np.array(self.words, dtype=object))
+        self.places, self.group = windows(self.tokens, segment, length)
+        self.content = segment[self.places] % 2 == 1
+        page = segment[self.places] // 2
+        n = int(self.group[-1]) + 1 if len(self.group) else 0
+        self.n_all = pages_of(self.group, page, n)
+        self.n_open = pages_of(self.group[~self.content], page[~self.content], n)
+
+    def texts(self) -> list[str]:
+        """The main text of each page."""
+        goes = np.where(self.content, self.n_all[self.group] >= CONTENT_PAGES, self.n_open[self.group] > 1)
+        gone = covered(self.places[goes], self.length, len(self.words))
+        out = []
+        for own in self.spans:
+            wanted = CONTENT if any(kind == CONTENT for kind, _, _ in own) else OPEN
+            own = [(a, b) for kind, a, b in own if kind == wanted]
+            whole = "\n\n".join(" ".join(self.words[a:b]) for a, b in own)
+            lost = sum(int(gone[a:b].sum()) for a, b in own)
+            if not lost or wanted == CONTENT and lost > CONTENT_SHARE * sum(b - a for a, b in own):
+                out.append(whole)
+                continue
+            left = [" ".join(w for w, g in zip(self.words[a:b], gone[a:b]) if not g) for a, b in own]
+            out.append("\n\n".join(filter(None, left)) or whole)
+        return out
+
+
+def _pages(frame: pd.DataFrame) -> Iterator[list[tuple[int, str]]]:
+    for kinds, texts in zip(frame["kinds"], frame["texts"]):
+        yield list(zip(map(int, kinds), texts.split("\n")))
 
 
 def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
@@ -217,52 +262,28 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
 
     Columns: page_id, url, text, n_chars.
     """
-    own = pages.select(F.col("page_id").cast("long"), "url", "html", url_host(F.col("url")).alias("host"))
-    result = "page_id long, url string, text string, n_chars long"
-
-    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rows = [], []
-            for row, source in enumerate(batch.column(2)):
-                blocks = parse(source.as_py())
-                kinds = {kind for kind, _ in blocks}
-                if CONTENT in kinds or OPEN not in kinds:
-                    rows.append(row)
-                    texts.append("\n\n".join(text for kind, text in blocks if kind == CONTENT))
-            kept = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(2)]
-            kept += [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(kept, ["page_id", "url", "text", "n_chars"])
+    host = F.coalesce(url_host(F.col("url")), F.lit("")).alias("host")
+    own = pages.select(F.col("page_id").cast("long"), "url", "html", host)
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "part", "page_id", "url", "judged", "kinds", "texts"]
         for batch in batches:
-            columns: list[list] = [[], [], []]
-            for source in batch.column(4):
-                blocks = parse(source.as_py())
-                left = [(kind, text) for kind, text in blocks if kind != CONTENT]
-                columns[0].append(len(left) == len(blocks) and any(kind == OPEN for kind, _ in left))
-                columns[1].append([kind for kind, _ in left])
-                columns[2].append([text for _, text in left])
-            types = [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string())]
-            made = [pa.array(c, t) for c, t in zip(columns, types)]
+            blocks = [parse(source.as_py()) for source in batch.column(4)]
+            made = [
+                pa.array(["".join(str(kind) for kind, _ in own) for own in blocks], pa.string()),
+                pa.array(["\n".join(text for _, text in own) for own in blocks], pa.string()),
+            ]
+            names = ["host", "part", "page_id", "url", "kinds", "texts"]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + made, names)
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        blocks = [list(zip(kinds, texts)) for kinds, texts in zip(group["kinds"], group["texts"])]
-        group = group.assign(text=unique_runs(blocks, run_tokens))[group["judged"]]
+        group = group.assign(text=Stream(_pages(group), run_tokens).texts())
         return group.assign(n_chars=group["text"].str.len())[["page_id", "url", "text", "n_chars"]]
 
     hosts = durable(own.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / GROUP_CHARS).alias("parts")))
     part = F.pmod(F.xxhash64("url", "page_id"), F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)))
     dealt = own.join(durable(hosts.where("parts > 1")), "host", "left")
     dealt = dealt.select("host", part.cast("int").alias("part"), "page_id", "url", "html").mapInArrow(
-        streams,
-        "host string, part int, page_id long, url string, judged boolean, kinds array<int>, texts array<string>",
+        streams, "host string, part int, page_id long, url string, kinds string, texts string"
     )
-    # Furniture counts only where the host has pages to judge, so other hosts' streams need not travel.
-    asked = durable(dealt.where("judged").select("host", "part").distinct())
-    written = own.select("page_id", "url", "html").mapInArrow(content, result)
-    if asked.isEmpty():
-        return written
-    judged = dealt.join(asked, ["host", "part"], "left_semi").groupBy("host", "part").applyInPandas(judge, result)
-    return written.unionByName(judged)
+    result = "page_id long, url string, text string, n_chars long"
+    return dealt.groupBy("host", "part").applyInPandas(judge, result)

@@ -122,6 +122,25 @@ def test_pages_without_article_lose_what_their_host_repeats(spark):
     assert main_text.extract(pages.limit(0)).count() == 0
 
 
+def test_articles_lose_short_runs_of_many_pages_only(spark):
+    share = "Tell your friends about this page on every network"
+    copied = " ".join(f"c{i}" for i in range(60))
+    rows = []
+    for i in range(12):
+        own = " ".join(f"w{i}x{k}" for k in range(50))
+        rows.append((i, f"http://h.org/{i}", f"<article><p>{own}</p><p>{share}</p></article>"))
+        rows.append((100 + i, f"http://h.org/c{i}", f"<main><p>{copied} n{i} {copied[::-1]}</main>"))
+        # The same line on few pages of another host is a quotation.
+        rows.append((200 + i, f"http://h{i // 3}.org/", f"<article><p>{own}</p><p>{share}</p></article>"))
+    found = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    for i in range(12):
+        own = " ".join(f"w{i}x{k}" for k in range(50))
+        assert found[i] == own
+        assert found[100 + i] == f"{copied} n{i} {copied[::-1]}"
+        assert found[200 + i] == f"{own}\n\n{share}"
+
+
 # --- License scan ---
 
 
