@@ -13,6 +13,10 @@ stay. A page that would lose everything is a copy of another page, not boilerpla
 Content is kept with more care, as articles quote and copy each other: only windows that ``CONTENT_PAGES`` pages or more
 have count there, and only where all tokens in them are at most ``CONTENT_SHARE`` of the page's content. So a share line
 or a notice goes, while an article that many pages copy, with changes or without, stays whole.
+
+A host of more than ``GROUP_CHARS`` is dealt over several suffix arrays. Each hands on a 64-bit hash of every window it
+has, with its numbers of pages; a page lies in one array only, so the sums over the arrays are those of the whole host,
+and the texts do not depend on how it was dealt.
 """
 
 from __future__ import annotations
@@ -34,8 +38,11 @@ CONTENT, OPEN, FURNITURE = 0, 1, 2
 RUN_TOKENS = 8
 CONTENT_PAGES = 10
 CONTENT_SHARE = 0.25
-GROUP_CHARS = 16_000_000  # of mark-up in one suffix array, about; a larger host is dealt over several
+GROUP_CHARS = 1_000_000  # of mark-up in one suffix array, about; a larger host is dealt over several
+BUCKET_CHARS = 16_000_000  # of mark-up whose window hashes are compared in one group, about, at most
+LEAST_BUCKETS = 16
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|template|noscript|svg|math|textarea|select|iframe|object|canvas|title)\b"
@@ -229,6 +236,23 @@ class Stream:
         self.n_all = pages_of(self.group, page, n)
         self.n_open = pages_of(self.group[~self.content], page[~self.content], n)
 
+    def hashes(self) -> np.ndarray:
+        """A hash of the words of each window, the same in every stream."""
+        word = pd.util.hash_array(np.asarray(self.names, dtype=object), categorize=False) if len(self.names) else None
+        first = self.places[np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])[: len(self.group)])]
+        total = np.zeros(len(first), dtype=np.uint64)
+        for k in range(self.length if len(first) else 0):
+            total = (total ^ word[self.tokens[first + k]]) * _MIX
+            total ^= total >> np.uint64(32)
+        return total
+
+    def learn(self, known: np.ndarray, n_all: np.ndarray, n_open: np.ndarray) -> None:
+        """Takes the host's numbers of pages for the windows whose hashes are ``known``, which are sorted."""
+        own = self.hashes()
+        at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        same = known[at] == own if len(known) else np.zeros(len(own), dtype=bool)
+        self.n_all[same], self.n_open[same] = n_all[at[same]], n_open[at[same]]
+
     def texts(self) -> list[str]:
         """The main text of each page."""
         goes = np.where(self.content, self.n_all[self.group] >= CONTENT_PAGES, self.n_open[self.group] > 1)
@@ -252,6 +276,37 @@ def _pages(frame: pd.DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield list(zip(map(int, kinds), texts.split("\n")))
 
 
+_COUNTED = ("hashes", "n_all", "n_open")
+_TYPES = (np.uint64, np.uint32, np.uint32)
+
+
+def _packed(*columns: np.ndarray) -> tuple[bytes, ...]:
+    return tuple(c.astype(t).tobytes() for c, t in zip(columns, _TYPES))
+
+
+def _unpacked(frame: pd.DataFrame) -> list[np.ndarray]:
+    """The columns of all rows, one after the other."""
+    return [np.frombuffer(b"".join(frame[c]), dtype=t) for c, t in zip(_COUNTED, _TYPES)]
+
+
+def shared_windows(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, hashes, n_all, n_open) of the windows that several parts have, the numbers summed over the parts.
+
+    ``frame`` has one row per part, with each window once.
+    """
+    hashes, n_all, n_open = _unpacked(frame)
+    known, number, parts = np.unique(hashes, return_inverse=True, return_counts=True)
+    total_all = np.bincount(number, n_all, len(known)).astype(np.int64)
+    total_open = np.bincount(number, n_open, len(known)).astype(np.int64)
+    begin = 0
+    for part, packed in zip(frame["part"], frame["hashes"]):
+        own = number[begin : begin + len(packed) // 8]
+        begin += len(own)
+        own = own[parts[own] > 1]
+        if len(own):
+            yield part, known[own], total_all[own], total_open[own]
+
+
 def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html) with its main text.
 
@@ -275,15 +330,57 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
             names = ["host", "part", "page_id", "url", "kinds", "texts"]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + made, names)
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(text=Stream(_pages(group), run_tokens).texts())
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        stream = Stream(_pages(group), run_tokens)
+        hashes, buckets = stream.hashes(), int(group["buckets"].iloc[0])
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        host, part = group["host"].iloc[0], group["part"].iloc[0]
+        rows = [
+            (host, b, part, *_packed(hashes[own], stream.n_all[own], stream.n_open[own]))
+            for b in range(buckets)
+            if len(own := order[edges[b] : edges[b + 1]])
+        ]
+        return pd.DataFrame(rows, columns=["host", "bucket", "part", *_COUNTED])
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        host = group["host"].iloc[0]
+        rows = [(host, part, *_packed(*columns)) for part, *columns in shared_windows(group)]
+        return pd.DataFrame(rows, columns=["host", "part", *_COUNTED])
+
+    def judge(group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        stream = Stream(_pages(group), run_tokens)
+        if len(shared):
+            columns = _unpacked(shared)
+            order = np.argsort(columns[0])
+            stream.learn(*(c[order] for c in columns))
+        group = group.assign(text=stream.texts())
         return group.assign(n_chars=group["text"].str.len())[["page_id", "url", "text", "n_chars"]]
 
-    hosts = durable(own.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / GROUP_CHARS).alias("parts")))
-    part = F.pmod(F.xxhash64("url", "page_id"), F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)))
-    dealt = own.join(durable(hosts.where("parts > 1")), "host", "left")
-    dealt = dealt.select("host", part.cast("int").alias("part"), "page_id", "url", "html").mapInArrow(
-        streams, "host string, part int, page_id long, url string, kinds string, texts string"
+    chars = own.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > GROUP_CHARS)
+    large = durable(
+        chars.select(
+            "host",
+            F.ceil(F.col("chars") / GROUP_CHARS).cast("int").alias("parts"),
+            (F.ceil(F.col("chars") / BUCKET_CHARS) + LEAST_BUCKETS).cast("int").alias("buckets"),
+        )
+    )
+    part = F.coalesce(F.pmod(F.xxhash64("url", "page_id", "html"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        kept = "host string, part int, page_id long, url string, kinds string, texts string"
+        return rows.select("host", part, "page_id", "url", "html").mapInArrow(streams, kept)
+
+    counted = f"part int, {_COUNTED[0]} binary, {_COUNTED[1]} binary, {_COUNTED[2]} binary"
+    windowed = (
+        blocks(own.join(large, "host"))
+        .select("host", "part", "kinds", "texts")
+        .join(large.select("host", "buckets"), "host")
+        .groupBy("host", "part")
+        .applyInPandas(count, f"host string, bucket int, {counted}")
     )
+    shared = windowed.groupBy("host", "bucket").applyInPandas(share, f"host string, {counted}")
     result = "page_id long, url string, text string, n_chars long"
-    return dealt.groupBy("host", "part").applyInPandas(judge, result)
+    dealt = blocks(own.join(large, "host", "left")).groupBy("host", "part")
+    return dealt.cogroup(shared.groupBy("host", "part")).applyInPandas(judge, result)

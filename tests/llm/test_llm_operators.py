@@ -141,6 +141,25 @@ def test_articles_lose_short_runs_of_many_pages_only(spark):
         assert found[200 + i] == f"{own}\n\n{share}"
 
 
+def test_main_text_does_not_depend_on_how_a_host_is_dealt(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        own = " ".join(f"w{i}x{k}" for k in range(60))
+        tag = rng.choice(("article", "div"))
+        # Line 11 is on two pages only.
+        extra = rng.choice(lines[:11]) if i not in (7, 90) else lines[11]
+        rows.append((i, f"http://h{i % 13 == 12}.org/{i}", f"<footer>{rng.choice(lines)}</footer><{tag}><p>{own}<p>{extra}</{tag}>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for chars in (10**9, 5_000):
+        monkeypatch.setattr(main_text, "GROUP_CHARS", chars)
+        found.append({r.page_id: r.text for r in main_text.extract(pages).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert len({len(text.split("\n\n")) for text in found[0].values()}) == 2
+
+
 # --- License scan ---
 
 
