@@ -45,7 +45,7 @@ LEAST_BUCKETS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|math|textarea|select|iframe|object|canvas|title)\b"
+    r"|<(?P<raw>script|style|template|noscript|textarea|select|iframe|canvas|title|annotation-xml|annotation|desc|metadata)\b"
     r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -67,11 +67,39 @@ _HINT = re.compile(
     r"|social|sponsor(?:ed)?|subscribe|toolbar|widget|complementary|contentinfo|search|dialog|alert)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+# In content, only containers are judged, and only by names that consist of these words.
+_CONTAINERS = frozenset("article aside details div dl ol section table ul".split())
+_ROLES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
+    "footer login menu nav navbar navigation newsletter notice pagination popup promo related replies share sharing "
+    "sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search dialog alert".split()
+)
+_PLAIN = frozenset(
+    "area articles bar block body box button buttons container content form group holder icons inner items link links "
+    "list outer panel post posts section signup text thread wrap wrapper".split()
+)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_OWN_NAMES = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articleBody\b", re.IGNORECASE)
 _HIDDEN = re.compile(r"\shidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
+def _names_a_role(name: str) -> bool:
+    """Whether a class or role as a whole names furniture: ``share`` and ``share-buttons``, not ``share-price``."""
+    words = [w for w in re.split(r"[_-]+", name.lower()) if w]
+    return any(w in _ROLES for w in words) and all(w in _ROLES or w in _PLAIN for w in words)
+
+
+def _is_hinted(tag: str, rest: str, inside: int) -> bool:
+    if inside == CONTENT or tag in _CONTENT:
+        if tag not in _CONTAINERS:
+            return False
+        return any(_names_a_role(n) for found in _OWN_NAMES.findall(rest) for name in found for n in name.split())
+    return tag not in ("html", "body") and any(
+        _HINT.search(name) for found in _NAMES.findall(rest) for name in found if name
+    )
+
+
 def _zone(tag: str, rest: str, inside: int, in_content: bool) -> int:
     if inside == FURNITURE:
         return FURNITURE
@@ -80,9 +108,7 @@ def _zone(tag: str, rest: str, inside: int, in_content: bool) -> int:
     if "=" in rest or "hidden" in rest:
         if _HIDDEN.search(rest):
             return FURNITURE
-        if tag not in ("html", "body") and any(
-            _HINT.search(name) for found in _NAMES.findall(rest) for name in found if name
-        ):
+        if _is_hinted(tag, rest, inside):
             return FURNITURE
         if _MAIN.search(rest):
             return CONTENT
@@ -118,7 +144,7 @@ def parse(source: str | None) -> list[tuple[int, str]]:
             parts.append(source[at : found.start()])
         at = found.end()
         if found["raw"]:
-            if found["raw"].lower() == "title":
+            if found["raw"].lower() == "title" and not any(name == "svg" for name, _ in stack):
                 close_block()
             continue
         if not found["tag"]:

@@ -83,6 +83,19 @@ def test_blocks_of_a_page():
     assert main_text.parse("1 < 2<script>x") == [(1, "1 < 2")]
 
 
+@pytest.mark.parametrize("inside, kept", [
+    ('<h2 id="related-work">t</h2>', "t"), ('<h2 id="search-algorithms">t</h2>', "t"),
+    ('<section id="social-history">t</section>', "t"), ('<p class="share-price">t</p>', "t"),
+    ('<figure class="banner">t</figure>', "t"), ('<div class="share-price">t</div>', "t"),
+    ("<math><mi>t</mi><annotation>u</annotation></math>", "t"), ("<svg><title>u</title><text>t</text></svg>", "t"),
+    ("<object>t</object>", "t"), ('<div class="x share">t</div>', ""), ('<ul class="share-buttons">t</ul>', ""),
+    ('<div class="ad">t</div>', ""), ('<section role="search">t</section>', ""), ("<nav>t</nav>", ""),
+])
+def test_names_inside_an_article(inside, kept):
+    blocks = main_text.parse(f'<article id="search-engines"><p>a</p>{inside}<p>b</p></article>')
+    assert [t for k, t in blocks if k == main_text.CONTENT] == [t for t in ("a", kept, "b") if t]
+
+
 def test_repeated_runs_against_windows():
     rng = random.Random(5)
     for _ in range(40):
