@@ -199,6 +199,40 @@ def test_licenses_are_found_with_spans(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, license", [
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-ND 3.0", "CC-BY-ND-3.0"),
+    ("licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("licensed under the GNU General Public License, version 3", "GPL-3.0"),
+    ("licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    ("licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+    ("licensed under the Eclipse Public License, version 2.0", "EPL-2.0"),
+    ("Released under the MIT License", "MIT"), ("Released under CC0 1.0", "CC0-1.0"),
+    (TEMPLATES["BSD-3-Clause"].split(" 3. Neither")[0], "BSD-2-Clause"), (TEMPLATES["BSD-3-Clause"], "BSD-3-Clause"),
+    (TEMPLATES["GPL-3.0 notice"].replace("version 3", "version 2"), "GPL-2.0"),
+    ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+     "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+     "commercial or non-commercial, and by any means.", "Unlicense"),
+])
+def test_licenses_get_the_name_of_their_kind_and_version(text, license):
+    found = licenses.scan_text(f"Some words before. {text}. And after.", licenses.Index(TEMPLATES), licenses.COVERAGE)
+    assert [name.split()[0] for name, *_ in found] == [license]
+
+
+def test_whole_texts_and_long_insertions():
+    index = licenses.Index(TEMPLATES)
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "CC0-1.0", "MPL-2.0"):
+        (match,) = licenses.scan_text(f"Above. {TEMPLATES[name + ' text']} Below.", index, licenses.COVERAGE)
+        assert match[0] == f"{name} text" and match[1] == 1.0
+    mit = TEMPLATES["MIT text"].split()
+    filler = " ".join(f"zz{i}" for i in range(40))
+    text = " ".join(mit[:45]) + f" {filler} " + " ".join(mit[45:])
+    (match,) = licenses.scan_text(f"x {text} y", index, licenses.COVERAGE)
+    assert match[:2] == ("MIT text", 1.0)
+    assert f"x {text} y"[match[3] : match[4]] == text.rstrip(".")
+
+
 def test_alignment_counts_common_words_near_the_diagonal():
     template = np.arange(20)
     text = np.concatenate([[-1] * 5, template[:8], [-1, -1], template[8:11], template[12:]])
