@@ -128,9 +128,7 @@ def ml_svd_low_rank_predictions(spark, folder):
     return affinity.predictions(scored)
 
 
-# ---- spend regression: small tree counts, so that a check of all queries ends in minutes ----
-
-TREES = 10
+# ---- spend regression ----
 
 
 def _vectors(spark, folder):
@@ -147,20 +145,17 @@ def ml_ridge_cv(spark, folder):
 @query()
 def ml_gbt(spark, folder):
     train, test = _vectors(spark, folder)
-    model = regress.fit(regress.boosted_trees(maxIter=TREES, maxDepth=5), train)
+    model = regress.fit(regress.boosted_trees(), train)
     return regress.predict(model, test, "boosted").select(*views.BOOKING_KEY, "boosted")
 
 
 @query()
 def ml_leaderboard(spark, folder):
     train, _ = _vectors(spark, folder)
-    board = regress.leaderboard(train, regress.search_candidates(trees=TREES))
+    board = regress.leaderboard(train, regress.search_candidates())
     return spark.createDataFrame(board, "place int, model string, rmse double")
 
 
 @query()
 def ml_blend_predictions(spark, folder):
-    names = ("linear_1", "forest_6", "boosted_4")
-    few = {n: e for n, e in regress.search_candidates(trees=TREES).items() if n in names}
-    features = booking_plan.features(views.bookings(spark, folder))
-    return regress.spend_predictions(features, few, maxIter=TREES, maxDepth=5)
+    return regress.spend_predictions(booking_plan.features(views.bookings(spark, folder)))

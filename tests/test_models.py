@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patronage.operators import encode
 from patronage.plans import affinity, regress, retail, segments
 from patronage.plans import bookings as booking_plan
+from patronage.registry import models
 from patronage.sources import views
 
 CELLS = [
@@ -156,3 +157,32 @@ def test_trees_get_a_bin_for_every_level(vectors):
     model = regress.fit(regress.boosted_trees(maxIter=1, maxDepth=2), train)
     levels = [a.get("num_vals") or len(a["vals"]) for a in train.schema[regress.TREE_INPUT].metadata["ml_attr"]["attrs"]["nominal"]]
     assert model.getMaxBins() >= max(levels)
+
+
+def test_registered_queries_fit_the_whole_models(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Fitted(args, kwargs)
+
+    monkeypatch.setattr(models, "_vectors", lambda spark, folder: (None, None))
+    monkeypatch.setattr(models.booking_plan, "features", lambda rows: None)
+    monkeypatch.setattr(models.views, "bookings", lambda spark, folder: None)
+    monkeypatch.setattr(regress, "fit", stop)
+    monkeypatch.setattr(regress, "leaderboard", stop)
+    monkeypatch.setattr(regress, "spend_predictions", stop)
+    with pytest.raises(Fitted) as caught:
+        models.ml_gbt(spark, "")
+    trees = caught.value.args[0][0]
+    assert (trees.getMaxIter(), trees.getMaxDepth()) == (400, 8)
+    with pytest.raises(Fitted) as caught:
+        models.ml_leaderboard(spark, "")
+    whole = regress.search_candidates()
+    candidates = caught.value.args[0][1]
+    assert set(candidates) == set(whole)
+    assert candidates["forest_8"].getNumTrees() == whole["forest_8"].getNumTrees()
+    with pytest.raises(Fitted) as caught:
+        models.ml_blend_predictions(spark, "")
+    assert caught.value.args == ((None,), {})
+    assert len(regress.STRENGTHS) == 31 and {0.01, 1.0, 100.0} <= {round(s, 6) for s in regress.STRENGTHS}
