@@ -84,24 +84,19 @@ def ml_svd_singular_values(spark, folder):
 )
 def ml_svd_total(spark, folder):
     """The squared singular values add up to the squared cells."""
-    matrix = _matrix(spark, folder)
-    values = affinity.energy(affinity.decompose(matrix), matrix).select("singular_value")
-    squares = F.sum(F.col("singular_value") * F.col("singular_value"))
-    return values.agg(F.round(squares / 1e6, 2).alias("squares"))
+    return affinity.squares(_matrix(spark, folder)).select(F.round(F.col("squares") / 1e6, 2).alias("squares"))
 
 
 @query()
 def ml_svd_energy(spark, folder):
     matrix = _matrix(spark, folder)
     found = affinity.decompose(matrix)
-    kept = F.col("position") <= found.rank_for()
+    kept = F.col("position") <= found.kept()
     return affinity.energy(found, matrix).select("position", "share", kept.alias("kept"))
 
 
 def _full_rank(spark, folder):
-    matrix = _matrix(spark, folder)
-    found = affinity.decompose(matrix)
-    scored = affinity.scores(matrix, found, _candidates(spark, folder), len(found.values))
+    scored = affinity.full_rank_scores(_matrix(spark, folder), _candidates(spark, folder))
     return affinity.predictions(scored)
 
 

@@ -72,6 +72,25 @@ def test_few_values_of_many_stores(matrix, spark):
     assert np.allclose(found.values, sorted(lengths)[::-1][:2])
 
 
+def test_full_rank_scores_are_those_of_all_values(matrix):
+    rows = affinity.full_rank_scores(matrix, [12, 13]).orderBy("customer_id").collect()
+    assert np.allclose([[r["12"], r["13"]] for r in rows], dense()[:, 2:])
+    assert abs(affinity.squares(matrix).first()[0] - affinity.decompose(matrix).total) < 1e-9
+
+
+def test_more_stores_than_mllib_sums_up(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "FEW", 2)
+    cells = spark.range(15_001).selectExpr("id % 50 as customer_id", "id as store_code", "1.0D + id % 50 as value")
+    found = affinity.decompose(cells)
+    lengths = [r[0] ** 0.5 for r in cells.groupBy("customer_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).select("s").collect()]
+    assert np.allclose(found.values, sorted(lengths)[::-1][:2])
+    assert found.kept() == 3 and found.kept(0.01) == found.rank_for(0.01)
+    monkeypatch.setattr(affinity, "VECTOR_CELLS", 3 * 15_001)
+    with pytest.raises(ValueError, match="reach only"):
+        affinity.decompose_share(cells).rank_for()
+    assert affinity.full_rank_scores(cells, [49]).agg(F.sum("49")).first()[0] == 50.0
+
+
 def test_values_are_added_until_the_share_is_reached(matrix):
     found = affinity.decompose_share(matrix, 0.9)
     assert (found.values**2).sum() >= 0.9 * found.total
