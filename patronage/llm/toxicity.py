@@ -163,7 +163,12 @@ def _sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*marks).dropna()
     # Bounded by ``rows``, so it may be sent to every task.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # A doc_id may be repeated: equal rows count once, and of different ones the limit holds for the rows.
+    kept = durable(texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]))
+    if kept.count() > rows:
+        order = [F.xxhash64("doc_id", "_hash"), "doc_id", "_hash"]
+        kept = kept.join(F.broadcast(kept.select("doc_id", "_hash").orderBy(*order).limit(rows)), ["doc_id", "_hash"])
     schema = ", ".join(["doc_id long", *(f"{c} int" for c in categories), "_features array<string>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +189,8 @@ def fit(
 ) -> Chain:
     """A chain fitted on at most ``sample_rows`` of the documents that ``labels`` (doc_id, categories 0/1) labels.
 
-    Rows of one doc_id count as positive if any is; a row with a null label is not used. The driver gets the
+    Label rows of one doc_id count as positive if any is; one with a null label is not used. Equal documents of one
+    doc_id are fitted on once. The driver gets the
     sample's chosen features only.
     """
     sample = _sampled(docs, labels, categories, sample_rows)

@@ -471,3 +471,12 @@ def test_logistic_model_separates():
     x = toxicity.Table(np.array([0, 1, 2]), np.array([0, 0, 0]), (6, 1), np.zeros((6, 0)))
     weights, bias = toxicity.fit_logistic(x, np.array([1, 1, 1, 0, 0, 0], float))
     assert weights[0] + bias > 1 and bias < -1
+
+
+def test_the_toxicity_sample_is_bounded_in_rows(spark):
+    rows = [(1, "same text")] * 50 + [(2, f"text {i}") for i in range(50)] + [(3, "more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity._sampled(docs, labels, ("toxic",), 10).count() == 10
+    whole = toxicity._sampled(docs, labels, ("toxic",), 1000)
+    assert {r.doc_id: r["count"] for r in whole.groupBy("doc_id").count().collect()} == {1: 1, 2: 50, 3: 1}
