@@ -13,11 +13,14 @@ from patronage.llm import (
     jaccard_join,
     licenses,
     main_text,
+    mixing,
     packing,
     reputation,
+    runs,
     token_files,
     topk,
     toxicity,
+    variants,
 )
 from patronage.llm import queries_sql as sql
 from patronage.sources.tables import table
@@ -88,6 +91,19 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.detect_runs(table(spark, folder, "documents"), plant=True)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"), damage=variants.DAMAGE)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -101,6 +117,9 @@ QUERIES: dict[str, Query] = {
         op8_best_fit_packing,
         op9_toxicity,
         op10_bpe_round_trip,
+        op11_source_mix,
+        op12_periodic_runs,
+        op13_spelling_variants,
     )
 }
 
