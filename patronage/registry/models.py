@@ -144,6 +144,32 @@ def ml_gbt(spark, folder):
     return regress.predict(model, test, "boosted").select(*views.BOOKING_KEY, "boosted")
 
 
+_COVER = "SELECT count(*) AS bookings, true AS all_finite{more} FROM fx_bookings WHERE is_train = 0"
+
+
+def _all_finite(names):
+    value = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf")) for n in names]
+    return F.min(F.coalesce(F.least(*value) if len(value) > 1 else value[0], F.lit(False))).alias("all_finite")
+
+
+@query(_COVER.format(more=""))
+def ml_ridge_cover(spark, folder):
+    """Every test booking has one finite prediction."""
+    return ml_ridge_cv(spark, folder).agg(F.count(F.lit(1)).alias("bookings"), _all_finite(["ridge"]))
+
+
+@query(_COVER.format(more=", true AS all_blended"))
+def ml_blend_cover(spark, folder):
+    """Every test booking has one finite prediction of each model, and their blend by the fixed weights."""
+    names = ["boosted", "winner", "ridge", "prediction"]
+    off = F.abs(0.55 * F.col("boosted") + 0.40 * F.col("winner") + 0.05 * F.col("ridge") - F.col("prediction"))
+    return ml_blend_predictions(spark, folder).agg(
+        F.count(F.lit(1)).alias("bookings"),
+        _all_finite(names),
+        F.min(off <= 1e-9 * F.abs("prediction") + 1e-9).alias("all_blended"),
+    )
+
+
 @query()
 def ml_leaderboard(spark, folder):
     train, _ = _vectors(spark, folder)

@@ -1,12 +1,15 @@
 """Invariants of segmentation, affinity and regression."""
 
+import dataclasses
+
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from patronage.operators import encode
-from patronage.plans import affinity, regress, retail, segments
+from patronage.plans import affinity, boosting, regress, retail, ridge, segments
 from patronage.plans import bookings as booking_plan
 from patronage.registry import models
 from patronage.sources import views
@@ -139,12 +142,12 @@ def vectors(spark, small):
     return regress.vectors(booking_plan.features(views.bookings(spark, small)))
 
 
-def test_ridge_save_and_load(vectors, tmp_path):
+def test_ridge_save_and_load(spark, vectors, tmp_path):
     train, test = vectors
     model = regress.ridge_cv(train, strengths=(1.0, 100.0), folds=5).bestModel
     path = str(tmp_path / "ridge")
-    model.write().save(path)
-    again = LinearRegressionModel.load(path)
+    model.save(spark, path)
+    again = ridge.RidgeModel.load(spark, path)
     first, second = (
         [r.p for r in regress.predict(m, test, "p").orderBy(*views.BOOKING_KEY, "p").collect()]
         for m in (model, again)
@@ -152,6 +155,104 @@ def test_ridge_save_and_load(vectors, tmp_path):
     assert first == second and len(first) == test.count()
 
 
+def ridge_rows(spark, n=400):
+    """Rows with a category of three levels (one never seen), two numbers, and one number that depends on others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        level, a, b = int(rng.integers(0, 3)), float(rng.normal(3, 2)), float(rng.normal(-1, 5))
+        label = 4 + 2 * a - b + (0, 7, -3)[level] + float(rng.normal())
+        rows.append((i % 5, float(level), a, b, 2 * a - b + 1, label))
+    df = spark.createDataFrame(rows, "fold int, level double, a double, b double, both double, label double")
+    named = with_levels(df.repartition(3), "level", 4)
+    tree = VectorAssembler(inputCols=["level", "a", "b"], outputCol="x").transform(named)
+    return VectorAssembler(inputCols=["level", "a", "b", "both"], outputCol="dependent").transform(tree)
+
+
+def with_levels(df, column, levels):
+    meta = {"ml_attr": {"type": "nominal", "name": column, "num_vals": levels}}
+    return df.withColumn(column, F.col(column).alias(column, metadata=meta))
+
+
+def test_ridge_path_agrees_with_mllib(spark):
+    rows = ridge_rows(spark)
+    columns = ridge.columns_of(rows, "x")
+    assert (columns.width, columns.starts) == (7, {0: 1})
+    sums = ridge.fold_products(rows, columns, "label", "fold", 5)
+    every = np.arange(1, columns.width)
+    hot = OneHotEncoder(inputCols=["level"], outputCols=["hot"], dropLast=False).fit(rows).transform(rows)
+    flat = VectorAssembler(inputCols=["hot", "a", "b"], outputCol="flat").transform(hot).persist()
+    for held in (None, 2):
+        part = sums.sum(axis=0) if held is None else sums.sum(axis=0) - sums[held]
+        kept = flat if held is None else flat.where(F.col("fold") != held)
+        for strength, found in zip((0.1, 5.0), ridge.path(part, (0.1, 5.0), every)):
+            fitted = LinearRegression(featuresCol="flat", regParam=strength, elasticNetParam=0.0, standardization=False, solver="normal").fit(kept)
+            assert np.allclose(found[1:], fitted.coefficients.toArray(), atol=1e-6)
+            assert abs(found[0] - fitted.intercept) < 1e-6
+            errors = [(r.label - r.prediction) ** 2 for r in fitted.transform(kept).collect()]
+            assert abs(ridge.squared_error(part, found) - np.mean(errors)) < 1e-6
+
+
+def test_ridge_leaves_dependent_columns_out_and_predicts(spark):
+    rows = ridge_rows(spark)
+    found = ridge.search(rows, "dependent", (1e-6, 1.0, 1e4), 5)
+    assert found.strengths[int(np.argmin(found.errors))] == found.bestModel.strength == 1e-6
+    coefficients = found.bestModel.coefficients
+    assert coefficients[4] == 0  # the level that never occurs
+    assert (coefficients[1:4] == 0).sum() == 1 and (coefficients[5:] == 0).sum() == 1
+    assert found.errors[0] < 1.2
+    judged = found.bestModel.transform(rows)
+    assert judged.select(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0] < 1.1
+    plan = rows.limit(0)
+    assert ridge.search(plan, "x", (1.0,), 5).bestModel.coefficients.tolist() == [0.0] * 7
+
+
+def test_ridge_reads_the_rows_once(spark, monkeypatch):
+    passes = []
+    whole = ridge.fold_products
+    monkeypatch.setattr(ridge, "fold_products", lambda *a: passes.append(a) or whole(*a))
+    ridge.search(ridge_rows(spark), "x", regress.STRENGTHS, 5)
+    assert len(passes) == 1
+
+
+def boosted_predictions(model, rows):
+    return [r.prediction for r in model.transform(rows).orderBy("label", "fold").collect()]
+
+
+def test_boosted_trees_learn_alike_in_one_block_or_many_and_after_a_stop(spark, tmp_path, monkeypatch):
+    rows = ridge_rows(spark, 600)
+    settings = boosting.BoostedTrees(12, 0.3, 3, rows=0.7, columns=0.7, seed=7, stage=5, features="x", keys=("label",))
+    whole = settings.fit(rows)
+    predicted = boosted_predictions(whole, rows)
+    spread = rows.agg(F.var_pop("label")).first()[0]
+    errors = np.mean([(p - r.label) ** 2 for p, r in zip(predicted, rows.orderBy("label", "fold").collect())])
+    assert len(whole.trees) == 12 and errors < 0.3 * spread
+    folder = str(tmp_path / "trees")
+    part = dataclasses.replace(settings, trees=7).fit(rows, folder)
+    assert len(part.trees) == 7
+    assert np.allclose(boosted_predictions(settings.fit(rows, folder), rows), predicted)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 150)
+    assert np.allclose(boosted_predictions(settings.fit(rows), rows), predicted)
+    assert settings.fit(rows.limit(0)).trees == ()
+
+
+def test_boosted_tree_against_plain_split(spark):
+    rows = ridge_rows(spark, 300)
+    model = boosting.BoostedTrees(1, 1.0, 1, least_rows=20, features="x", keys=("label",)).fit(rows)
+    found = model.transform(rows).select("level", "a", "b", "label", "prediction").collect()
+    label = np.array([r.label for r in found])
+    best = np.inf
+    sides = [np.array([r.level in group for r in found]) for group in ({0.0}, {1.0}, {2.0})]
+    for k, name in ((1, "a"), (2, "b")):
+        column = np.array([r[name] for r in found])
+        sides += [column <= cut for cut in model.cuts[k]]
+    for left in sides:
+        if min(left.sum(), (~left).sum()) >= 20:
+            best = min(best, label[left].var() * left.sum() + label[~left].var() * (~left).sum())
+    predicted = np.array([r.prediction for r in found])
+    assert abs(((label - predicted) ** 2).sum() - best) < 1e-6 * best
+
+
 def test_search_and_blend(vectors):
     train, test = vectors
     few = {n: e for n, e in regress.search_candidates(trees=2).items() if n in ("linear_1", "forest_4")}
@@ -159,9 +260,9 @@ def test_search_and_blend(vectors):
     errors = [error for _, _, error in board]
     assert errors == sorted(errors) and len(errors) == 2
     winner = regress.search(train, few)
-    boosted = regress.fit(regress.boosted_trees(maxIter=2, maxDepth=2), train)
-    ridge = regress.ridge_cv(train, strengths=(1.0,), folds=5).bestModel
-    out = regress.blended(test, boosted, winner, ridge)
+    boosted = regress.fit(regress.boosted_trees(trees=2, depth=2), train)
+    linear = regress.ridge_cv(train, strengths=(1.0,), folds=5).bestModel
+    out = regress.blended(test, boosted, winner, linear)
     mix = 0.55 * F.col("boosted") + 0.40 * F.col("winner") + 0.05 * F.col("ridge")
     assert out.where(F.abs(mix - F.col("prediction")) > 1e-6).count() == 0
     assert out.count() == test.count()
@@ -173,7 +274,7 @@ def test_ten_candidates():
 
 def test_trees_get_a_bin_for_every_level(vectors):
     train, _ = vectors
-    model = regress.fit(regress.boosted_trees(maxIter=1, maxDepth=2), train)
+    model = regress.fit(regress.search_candidates(trees=1)["boosted_3"], train)
     levels = [a.get("num_vals") or len(a["vals"]) for a in train.schema[regress.TREE_INPUT].metadata["ml_attr"]["attrs"]["nominal"]]
     assert model.getMaxBins() >= max(levels)
 
@@ -194,7 +295,7 @@ def test_registered_queries_fit_the_whole_models(spark, monkeypatch):
     with pytest.raises(Fitted) as caught:
         models.ml_gbt(spark, "")
     trees = caught.value.args[0][0]
-    assert (trees.getMaxIter(), trees.getMaxDepth()) == (400, 8)
+    assert (trees.trees, trees.depth, trees.rate, trees.rows, trees.columns) == (400, 8, 0.001, 0.6, 0.6)
     with pytest.raises(Fitted) as caught:
         models.ml_leaderboard(spark, "")
     whole = regress.search_candidates()
