@@ -8,12 +8,13 @@ elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.operators.joins import attach_group_stats, null_safe_join
+from patronage.operators.tiles import NotSelectable, select_tiles
 from patronage.session import durable
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these low bits
@@ -80,6 +81,33 @@ def exact_ntile(
 
     The first ``rows mod tiles`` tiles hold one row more than the others.
     """
+    return exact_ntiles(df, {name: (measure, descending)}, key, tiles, partitions)
+
+
+def exact_ntiles(
+    df: DataFrame,
+    measures: Mapping[str, tuple[str, bool]],
+    key: str,
+    tiles: int,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Several tile columns (name → measure, descending), as in ``exact_ntile``.
+
+    The cut rows of all of them are selected together and the rows tiled by comparison. Only values that cannot
+    be narrowed as numbers (texts, dates, NaN, repeated keys among many ties) are placed by a sort per measure.
+    """
+    df = durable(df)
+    try:
+        return select_tiles(df, measures, key, tiles)
+    except NotSelectable:
+        for name, (measure, descending) in measures.items():
+            df = _sorted_ntile(df, measure, key, tiles, name, descending, partitions)
+        return df
+
+
+def _sorted_ntile(
+    df: DataFrame, measure: str, key: str, tiles: int, name: str, descending: bool, partitions: int | None
+) -> DataFrame:
     column = F.col(measure)
     order = column.desc_nulls_last() if descending else column.asc_nulls_last()
     placed = global_position(df, [order, F.col(key).asc()], "_position", partitions)

@@ -10,7 +10,7 @@ from patronage.functions.calendar import days_between, parse_stamp
 from patronage.functions.labels import purchase_rule, signed
 from patronage.functions.missing import strict
 from patronage.functions.text import digits_code
-from patronage.operators.ranking import exact_ntile
+from patronage.operators.ranking import exact_ntiles
 
 
 def recency(customers: DataFrame) -> DataFrame:
@@ -42,9 +42,8 @@ def score(rfm_base: DataFrame, tiles: int = 4) -> DataFrame:
 
     Ties are ordered by customer_id.
     """
-    scored = exact_ntile(rfm_base, "recency", "customer_id", tiles, "r")
-    scored = exact_ntile(scored, "frequency", "customer_id", tiles, "f", descending=True)
-    scored = exact_ntile(scored, "monetary", "customer_id", tiles, "m", descending=True)
+    measures = {"r": ("recency", False), "f": ("frequency", True), "m": ("monetary", True)}
+    scored = exact_ntiles(rfm_base, measures, "customer_id", tiles)
     marks = [F.col("r"), F.col("f"), F.col("m")]
     return scored.withColumns(
         {
