@@ -84,14 +84,16 @@ def ml_svd_singular_values(spark, folder):
 )
 def ml_svd_total(spark, folder):
     """The squared singular values add up to the squared cells."""
-    return affinity.squares(_matrix(spark, folder)).select(F.round(F.col("squares") / 1e6, 2).alias("squares"))
+    values = affinity.decompose(_matrix(spark, folder)).values
+    found = spark.createDataFrame([(float((values**2).sum()),)], "squares double")
+    return found.select(F.round(F.col("squares") / 1e6, 2).alias("squares"))
 
 
 @query()
 def ml_svd_energy(spark, folder):
     matrix = _matrix(spark, folder)
     found = affinity.decompose(matrix)
-    kept = F.col("position") <= found.kept()
+    kept = F.col("position") <= found.rank_for()
     return affinity.energy(found, matrix).select("position", "share", kept.alias("kept"))
 
 

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from patronage.operators import encode
-from patronage.plans import affinity, boosting, regress, retail, ridge, segments
+from patronage.plans import affinity, boosting, regress, retail, ridge, segments, subspace
 from patronage.plans import bookings as booking_plan
 from patronage.registry import models
 from patronage.sources import views
@@ -65,14 +65,48 @@ def test_predictions_ignore_rounding_noise(matrix):
     }
 
 
-def test_few_values_of_many_stores(matrix, spark):
-    assert len(affinity.decompose(matrix, k=1).values) == 1
-    cells = spark.range(70_000).selectExpr("id % 50 as customer_id", "id as store_code", "1.0D + id % 50 as value")
-    found = affinity.decompose(cells, k=2)
-    assert len(found.stores) == 70_000 and found.vectors.shape == (70_000, 2)
+def test_few_values_of_many_stores(spark):
+    cells = spark.range(20_000).selectExpr("id % 50 as customer_id", "id as store_code", "1.0D + id % 50 + id % 7 as value")
+    found = affinity.decompose_share(cells, 0.5)
     # The customers' rows have no store in common, so the singular values are their lengths.
     lengths = [r[0] ** 0.5 for r in cells.groupBy("customer_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).select("s").collect()]
-    assert np.allclose(found.values, sorted(lengths)[::-1][:2])
+    assert np.allclose(found.values, sorted(lengths)[::-1][: len(found.values)])
+    rank = found.rank_for(0.5)
+    assert rank == 1 + int((np.cumsum(np.sort(np.square(lengths))[::-1]) < 0.5 * np.square(lengths).sum()).sum())
+
+
+def test_low_rank_scores_of_many_stores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, int(s), float(rng.normal(10, 3))) for c in range(12) for s in rng.choice(20_000, 1500, replace=False)]
+    rows += [(77, s, 1.0 + s % 5) for s in range(0, 20_000, 3)]  # one customer holds a third of all cells
+    cells = spark.createDataFrame(rows, "customer_id long, store_code long, value double")
+    customers = sorted({c for c, _, _ in rows})
+    table = np.zeros((len(customers), 20_000))
+    for c, s, v in rows:
+        table[customers.index(c), s] += v
+    u, s, v = np.linalg.svd(table, full_matrices=False)
+    found = affinity.decompose(cells, k=4)
+    assert np.allclose(found.values, s[:4])
+    scored = affinity.scores(cells, found, [3, 19_998], 4).orderBy("customer_id").collect()
+    wanted = ((u[:, :4] * s[:4]) @ v[:4])[:, [3, 19_998]]
+    assert np.allclose([[r["3"], r["19998"]] for r in scored], wanted, atol=1e-5)
+
+
+@pytest.mark.parametrize("block", [2, 3])
+def test_tiles_of_any_size_give_the_same_values(matrix, monkeypatch, block):
+    monkeypatch.setattr(subspace, "BLOCK", block)
+    monkeypatch.setattr(subspace, "CELLS_AT_ONCE", 4)
+    found = affinity.decompose(matrix)
+    assert np.allclose(found.values, np.linalg.svd(dense(), compute_uv=False))
+    rows = affinity.scores(matrix, found, [12, 13, 99], 2).orderBy("customer_id").collect()
+    u, s, v = np.linalg.svd(dense(), full_matrices=False)
+    wanted = (u[:, :2] * s[:2]) @ v[:2]
+    assert np.allclose([[r["12"], r["13"], r["99"]] for r in rows], np.column_stack([wanted[:, 2:], np.zeros(6)]))
+
+
+def test_an_empty_matrix_has_no_values(matrix):
+    assert len(affinity.decompose(matrix.where("false")).values) == 0
+    assert len(affinity.decompose_share(matrix.where("value = 0")).values) == 0
 
 
 def test_full_rank_scores_are_those_of_all_values(matrix):
@@ -81,19 +115,6 @@ def test_full_rank_scores_are_those_of_all_values(matrix):
     assert abs(affinity.squares(matrix).first()[0] - affinity.decompose(matrix).total) < 1e-9
 
 
-def test_more_stores_than_mllib_sums_up(spark, monkeypatch):
-    monkeypatch.setattr(affinity, "FEW", 2)
-    cells = spark.range(15_001).selectExpr("id % 50 as customer_id", "id as store_code", "1.0D + id % 50 as value")
-    found = affinity.decompose(cells)
-    lengths = [r[0] ** 0.5 for r in cells.groupBy("customer_id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).select("s").collect()]
-    assert np.allclose(found.values, sorted(lengths)[::-1][:2])
-    assert found.kept() == 3 and found.kept(0.01) == found.rank_for(0.01)
-    monkeypatch.setattr(affinity, "VECTOR_CELLS", 3 * 15_001)
-    with pytest.raises(ValueError, match="reach only"):
-        affinity.decompose_share(cells).rank_for()
-    assert affinity.full_rank_scores(cells, [49]).agg(F.sum("49")).first()[0] == 50.0
-
-
 def test_values_are_added_until_the_share_is_reached(matrix):
     found = affinity.decompose_share(matrix, 0.9)
     assert (found.values**2).sum() >= 0.9 * found.total
