@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.labels import MALL_STORE, STANDALONE_STORE
 from patronage.operators.encode import one_hot, range_scale, sd_scale
+from patronage.plans import lloyd
 
 # Cluster count, restarts and range of the elbow curve, and the measures clustered on.
 CLUSTERS = 5
 RESTARTS = 20
 ELBOW = range(2, 21)
+ELBOW_RESTARTS = 5
 MEASURES = ("store_size_sq_ft", "sales_per_day", "store_age", "rev_age")
 FORMATS = (STANDALONE_STORE, MALL_STORE)
 
@@ -41,28 +43,26 @@ def store_features(cleaned_stores: DataFrame, regions: Sequence[str], scaling: s
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
 
 
-def best_kmeans(features: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = 1) -> KMeansModel:
-    """The k-means model of least cost among ``restarts`` seeded starts."""
-    models = (KMeans(k=k, seed=seed + i).fit(features) for i in range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def best_kmeans(features: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = 1) -> lloyd.Run:
+    """The k-means run of least cost among ``restarts`` seeded starts, all in the same passes."""
+    runs = lloyd.fit(features, [k] * restarts, range(seed, seed + restarts))
+    return min(runs, key=lambda run: run.cost)
 
 
 def cluster_labels(
     features: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = 1, name: str = "cluster"
 ) -> DataFrame:
     """Every store with its cluster, numbered from 1."""
-    features = features.persist()
-    model = best_kmeans(features, k, restarts, seed)
-    labelled = model.transform(features).withColumn(name, F.col("prediction") + 1)
-    features.unpersist()
-    return labelled.drop("prediction")
+    return best_kmeans(features, k, restarts, seed).label(features, name)
 
 
-def elbow_curve(features: DataFrame, ks: Sequence[int] = ELBOW, seed: int = 1) -> DataFrame:
-    """(k, cost) rows: the within-cluster sum of squares for every k."""
-    features = features.persist()
-    costs = [(k, KMeans(k=k, seed=seed).fit(features).summary.trainingCost) for k in ks]
-    features.unpersist()
+def elbow_curve(
+    features: DataFrame, ks: Sequence[int] = ELBOW, restarts: int = ELBOW_RESTARTS, seed: int = 1
+) -> DataFrame:
+    """(k, cost) rows: the least within-cluster sum of squares of a few starts for every k, all in the same passes."""
+    pairs = [(k, seed + i) for k in ks for i in range(restarts)]
+    runs = lloyd.fit(features, [k for k, _ in pairs], [s for _, s in pairs])
+    costs = [(k, min(run.cost for run in runs if run.k == k)) for k in ks]
     return features.sparkSession.createDataFrame(costs, "k int, cost double")
 
 

@@ -6,6 +6,8 @@ The other queries are checked by their invariants in the tests.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patronage.plans import affinity, regress, retail, segments
@@ -41,6 +43,33 @@ def ml_kmeans_cover(spark, folder):
     )
 
 
+@query("SELECT count(*) AS stores, true AS nearest_own FROM fx_stores")
+def ml_kmeans_nearest(spark, folder):
+    """Every store is nearest to the mean of its own cluster."""
+    labelled = durable(segments.cluster_labels(_store_features(spark, folder)).select("cluster", vector_to_array("features").alias("x")))
+    entries = labelled.select("cluster", F.posexplode("x").alias("at", "value"))
+    means = entries.groupBy("cluster", "at").agg(F.avg("value").alias("mean"))
+    means = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("mean"))
+    centres = means.agg(F.collect_list(F.struct("cluster", F.col("mean.mean").alias("centre")))).scalar()
+    apart = lambda c: F.aggregate(F.zip_with("x", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    judged = labelled.withColumn("_centres", centres).select(
+        F.array_min(F.transform("_centres", apart)).alias("least"),
+        apart(F.filter("_centres", lambda c: c["cluster"] == F.col("cluster"))[0]).alias("own"),
+    )
+    near = F.coalesce(F.min(F.col("own") <= F.col("least") + 1e-9), F.lit(False))
+    return judged.agg(F.count(F.lit(1)).alias("stores"), near.alias("nearest_own"))
+
+
+@query("SELECT 19 AS ks, true AS falling")
+def ml_elbow_falls(spark, folder):
+    """One cost for every number of clusters, the more clusters the lower."""
+    curve = ml_elbow(spark, folder)
+    before = F.lag("cost").over(Window.orderBy("k"))
+    return curve.select(F.coalesce(F.col("cost") < before, F.lit(True)).alias("falls")).agg(
+        F.count(F.lit(1)).cast("int").alias("ks"), F.min("falls").alias("falling")
+    )
+
+
 @query()
 def ml_elbow(spark, folder):
     return segments.elbow_curve(_store_features(spark, folder))

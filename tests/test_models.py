@@ -4,12 +4,13 @@ import dataclasses
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from patronage.operators import encode
-from patronage.plans import affinity, boosting, regress, retail, ridge, segments, subspace
+from patronage.plans import affinity, boosting, lloyd, regress, retail, ridge, segments, subspace
 from patronage.plans import bookings as booking_plan
 from patronage.registry import models
 from patronage.sources import views
@@ -135,11 +136,29 @@ def test_clusters(stores):
 
 
 def test_best_of_restarts_and_elbow(stores):
-    best = segments.best_kmeans(stores, 3, restarts=3).summary.trainingCost
-    curve = segments.elbow_curve(stores, ks=[2, 3, 8])
-    costs = {r.k: r.cost for r in curve.collect()}
-    assert best <= costs[3] + 1e-9
-    assert costs[8] < costs[2]
+    best = segments.best_kmeans(stores, 3, restarts=3).cost
+    mllib = min(KMeans(k=3, seed=i).fit(stores).summary.trainingCost for i in range(3))
+    assert best <= mllib + 1e-9
+    costs = {r.k: r.cost for r in segments.elbow_curve(stores, ks=[2, 3, 8]).collect()}
+    assert costs[8] < costs[3] < costs[2]
+
+
+def test_runs_of_one_pass_are_those_of_single_fits(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(c, 0.2, (60, 2)) for c in ((0, 0), (5, 5), (0, 9))])
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in points], "a double, b double").repartition(3)
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    runs = lloyd.fit(rows, [3, 2, 3], [1, 2, 3])
+    alone = [lloyd.fit(rows, [k], [s])[0] for k, s in ((3, 1), (2, 2), (3, 3))]
+    for run, single in zip(runs, alone):
+        assert np.allclose(run.centres, single.centres) and abs(run.cost - single.cost) < 1e-6
+        apart = ((points[:, None, :] - run.centres[None]) ** 2).sum(axis=2)
+        near = apart.argmin(axis=1)
+        assert abs(apart.min(axis=1).sum() - run.cost) < 1e-6
+        assert np.allclose(run.centres, [points[near == i].mean(axis=0) for i in range(len(run.centres))])
+    same = VectorAssembler(inputCols=["a", "a"], outputCol="features").transform(spark.createDataFrame([(1.0,)] * 50, "a double"))
+    assert len(lloyd.fit(same, [4], [1])[0].centres) == 1
+    assert lloyd.fit(rows.limit(0), [2], [1])[0].cost == 0.0
 
 
 def test_scaling(spark):
