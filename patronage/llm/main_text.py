@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|template|noscript|textarea|select|iframe|canvas|title|annotation-xml|annotation|desc|metadata)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-z][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
@@ -67,34 +68,45 @@ _HINT = re.compile(
     r"|social|sponsor(?:ed)?|subscribe|toolbar|widget|complementary|contentinfo|search|dialog|alert)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-# In content, only containers are judged, and only by names that consist of these words.
+# In content, only containers are judged by names that consist of these words.
 _CONTAINERS = frozenset("article aside details div dl ol section table ul".split())
 _ROLES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer login menu nav navbar navigation newsletter notice pagination popup promo related replies share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search dialog alert".split()
 )
+# Of ids, and of the classes of paragraphs, figures and spans in content, only these count: other names of furniture
+# are also what headings and captions are called.
+_CLEAR = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus newsletter "
+    "notice pagination popup promo replies sidebar sponsor sponsored subscribe".split()
+)
 _PLAIN = frozenset(
     "area articles bar block body box button buttons container content form group holder icons inner items link links "
-    "list outer panel post posts section signup text thread wrap wrapper".split()
+    "list outer panel post posts reader readers section signup text thread user users wrap wrapper".split()
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _OWN_NAMES = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_OWN_IDS = re.compile(r"(?<![\w-])id\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articleBody\b", re.IGNORECASE)
 _HIDDEN = re.compile(r"\shidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
-def _names_a_role(name: str) -> bool:
+def _names_a_role(name: str, roles: frozenset[str] = _ROLES) -> bool:
     """Whether a class or role as a whole names furniture: ``share`` and ``share-buttons``, not ``share-price``."""
     words = [w for w in re.split(r"[_-]+", name.lower()) if w]
-    return any(w in _ROLES for w in words) and all(w in _ROLES or w in _PLAIN for w in words)
+    return any(w in roles for w in words) and all(w in _ROLES or w in _PLAIN for w in words)
+
+
+def _has_name(names: re.Pattern, rest: str, roles: frozenset[str]) -> bool:
+    return any(_names_a_role(n, roles) for found in names.findall(rest) for name in found for n in name.split())
 
 
 def _is_hinted(tag: str, rest: str, inside: int) -> bool:
     if inside == CONTENT or tag in _CONTENT:
-        if tag not in _CONTAINERS:
-            return False
-        return any(_names_a_role(n) for found in _OWN_NAMES.findall(rest) for name in found for n in name.split())
+        if tag in _CONTAINERS:
+            return _has_name(_OWN_NAMES, rest, _ROLES) or _has_name(_OWN_IDS, rest, _CLEAR)
+        return tag in ("p", "figure", "span") and _has_name(_OWN_NAMES, rest, _CLEAR)
     return tag not in ("html", "body") and any(
         _HINT.search(name) for found in _NAMES.findall(rest) for name in found if name
     )
@@ -120,6 +132,8 @@ def parse(source: str | None) -> list[tuple[int, str]]:
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # the tags on the stack, so that looking for one that is not there costs nothing
+    in_content = 0
     zone = OPEN
 
     def close_block() -> None:
@@ -130,10 +144,13 @@ def parse(source: str | None) -> list[tuple[int, str]]:
                 blocks.append((zone, text))
 
     def pop_to(index: int) -> None:
-        nonlocal zone
+        nonlocal zone, in_content
         before = stack[index - 1][1] if index else OPEN
         if before != zone:
             close_block()
+        for name, own in stack[index:]:
+            opened[name] -= 1
+            in_content -= own == CONTENT
         del stack[index:]
         zone = before
 
@@ -144,7 +161,7 @@ def parse(source: str | None) -> list[tuple[int, str]]:
             parts.append(source[at : found.start()])
         at = found.end()
         if found["raw"]:
-            if found["raw"].lower() == "title" and not any(name == "svg" for name, _ in stack):
+            if found["raw"].lower() == "title" and not opened["svg"]:
                 close_block()
             continue
         if not found["tag"]:
@@ -157,6 +174,8 @@ def parse(source: str | None) -> list[tuple[int, str]]:
         if tag in _VOID:
             continue
         if found["end"]:
+            if not opened[tag]:
+                continue
             for index in range(len(stack) - 1, -1, -1):
                 if stack[index][0] == tag:
                     pop_to(index)
@@ -174,11 +193,13 @@ def parse(source: str | None) -> list[tuple[int, str]]:
                 if name in _HOLDERS:
                     break
         rest = found["rest"]
-        new = _zone(tag, rest, zone, any(z == CONTENT for _, z in stack))
+        new = _zone(tag, rest, zone, in_content > 0)
         if new != zone:
             close_block()
         if not rest.endswith("/") or tag in _BLOCK:
             stack.append((tag, new))
+            opened[tag] += 1
+            in_content += new == CONTENT
             zone = new
     if at < len(source):
         parts.append(source[at:])
@@ -281,12 +302,16 @@ class Stream:
 
     def texts(self) -> list[str]:
         """The main text of each page."""
-        goes = np.where(self.content, self.n_all[self.group] >= CONTENT_PAGES, self.n_open[self.group] > 1)
+        several = self.n_open[self.group] > 1
+        goes = np.where(self.content, several & (self.n_all[self.group] >= CONTENT_PAGES), several)
         gone = covered(self.places[goes], self.length, len(self.words))
         out = []
         for own in self.spans:
             wanted = CONTENT if any(kind == CONTENT for kind, _, _ in own) else OPEN
             own = [(a, b) for kind, a, b in own if kind == wanted]
+            if wanted == CONTENT:
+                for a, b in own:
+                    gone[a:b] = gone[a:b].all()  # of an article whole blocks only
             whole = "\n\n".join(" ".join(self.words[a:b]) for a, b in own)
             lost = sum(int(gone[a:b].sum()) for a, b in own)
             if not lost or wanted == CONTENT and lost > CONTENT_SHARE * sum(b - a for a, b in own):

@@ -89,13 +89,24 @@ def test_blocks_of_a_page():
     ('<figure class="banner">t</figure>', "t"), ('<div class="share-price">t</div>', "t"),
     ("<math><mi>t</mi><annotation>u</annotation></math>", "t"), ("<svg><title>u</title><text>t</text></svg>", "t"),
     ("<object>t</object>", "t"), ('<div class="x share">t</div>', ""), ('<ul class="share-buttons">t</ul>', ""),
-    ('<div class="ad">t</div>', ""), ('<section role="search">t</section>', ""), ("<nav>t</nav>", ""),
+    ('<section id="comments">t</section>', ""), ('<div id="comments">t</div>', ""), ('<div class="user-comments">t</div>', ""),
+    ('<p class="advert">t</p>', ""), ('<figure class="advert">t</figure>', ""), ('<span class="advert">t</span>', ""),
+    ('<p class="notice">t</p>', ""), ('<section id="search">t</section>', "t"), ('<span class="share">t</span>', "t"),
+    ("<p title=it's>t</p>", "t"), ('<div class="ad">t</div>', ""), ('<section role="search">t</section>', ""), ("<nav>t</nav>", ""),
 ])
 def test_names_inside_an_article(inside, kept):
     blocks = main_text.parse(f'<article id="search-engines"><p>a</p>{inside}<p>b</p></article>')
     assert [t for k, t in blocks if k == main_text.CONTENT] == [t for t in ("a", kept, "b") if t]
 
 
+def test_apostrophes_and_many_open_tags():
+    page = "<article><p title=it's>one two</p><p>don't stop</p><p data-x = 'a>b'>three</p></article>"
+    assert [t for _, t in main_text.parse(page)] == ["one two", "don't stop", "three"]
+    deep = "<article>" + "<div>a</section></i>" * 30_000
+    assert len(main_text.parse(deep)) == 30_000
+    assert main_text.parse("<p " + "a=\"b\" c='" * 30_000) is not None
+
+
 def test_repeated_runs_against_windows():
     rng = random.Random(5)
     for _ in range(40):
@@ -141,15 +152,18 @@ def test_articles_lose_short_runs_of_many_pages_only(spark):
     rows = []
     for i in range(12):
         own = " ".join(f"w{i}x{k}" for k in range(50))
-        rows.append((i, f"http://h.org/{i}", f"<article><p>{own}</p><p>{share}</p></article>"))
+        menu = f"<nav>{share}</nav>" if i < 2 else ""
+        rows.append((i, f"http://h.org/{i}", f"{menu}<article><p>{own}</p><p>{share}</p><p>{share} and cut {i}</p></article>"))
         rows.append((100 + i, f"http://h.org/c{i}", f"<main><p>{copied} n{i} {copied[::-1]}</main>"))
-        # The same line on few pages of another host is a quotation.
+        # The same line on few pages of another host is a quotation; so is one that no menu has.
+        rows.append((300 + i, f"http://q.org/{i}", f"<article><p>{own}</p><p>{share}</p></article>"))
         rows.append((200 + i, f"http://h{i // 3}.org/", f"<article><p>{own}</p><p>{share}</p></article>"))
     found = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(found) == len(rows)
     for i in range(12):
         own = " ".join(f"w{i}x{k}" for k in range(50))
-        assert found[i] == own
+        assert found[i] == f"{own}\n\n{share} and cut {i}"
+        assert found[300 + i] == f"{own}\n\n{share}"
         assert found[100 + i] == f"{copied} n{i} {copied[::-1]}"
         assert found[200 + i] == f"{own}\n\n{share}"
 
