@@ -85,12 +85,12 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Data
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, spaces_kept=False).encode
+        encoded = encoder(tokenizer, spaces_kept=False).encode_many
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, own_ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
+                ids = own_ids + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4

@@ -9,14 +9,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 CACHED_CHUNKS = 500_000  # per worker, twice: chunks not seen for so many new ones are encoded again
 CACHED_CHARS = 48
+SLICE_BYTES = 16_000_000  # of texts whose chunks are looked up together, about, or one text
+GROUP_CHUNKS = 20_000  # new chunks that the library gets at once
 
 # A space between two other white-space characters, or between one and the end: only there does the byte-level
 # pattern join white space across a cut.
@@ -93,6 +97,45 @@ class ChunkEncoder:
         return filled
 
 
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: empty), where white space gets no ids.
+
+        Texts are taken in slices: a slice's chunks are numbered, each distinct one is looked up once, those not known
+        are encoded together, and the ids of all chunks are gathered by number.
+        """
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            before = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+            lists = pc.split_pattern(texts[begin:end].cast(pa.string()), " ")
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+            ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            data = ids.buffers()[2]
+            bounds = bounds[edges - edges[0]].tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                yield data[a:b].to_pybytes() if b > a else b""
+            begin = end
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks; the new ones are encoded in groups and remembered if they are short."""
+        found = [self._cache.get(chunk) for chunk in chunks]
+        missing = [chunk for chunk, ids in zip(chunks, found) if ids is None]
+        if not missing:
+            return found
+        fresh = {chunk: self._older[chunk] for chunk in missing if chunk in self._older}
+        new = [chunk for chunk in missing if chunk not in fresh]
+        for at in range(0, len(new), GROUP_CHUNKS):
+            fresh.update(self.chunks(new[at : at + GROUP_CHUNKS]))
+        if len(self._cache) + len(fresh) > CACHED_CHUNKS:
+            self._older, self._cache = self._cache, {}
+        self._cache.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
+        return [fresh[chunk] if ids is None else ids for chunk, ids in zip(chunks, found)]
+
+
 class LibraryEncoder(ChunkEncoder):
     """Ids by the tokenizers library."""
 

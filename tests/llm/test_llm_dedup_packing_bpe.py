@@ -137,3 +137,24 @@ def test_round_trip_and_its_parts(docs):
     assert sorted((str(r[0]), *r[1:]) for r in rows) == sorted(expected)
     texts = bpe.decode(bpe.encode(docs)).collect()
     assert sorted((str(r[0]), r[1]) for r in texts) == sorted((str(d[0]), d[1] or "") for d in DOCS)
+
+
+def test_many_texts_at_once_get_the_ids_of_each(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from patronage.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 200)
+    monkeypatch.setattr(tokens, "GROUP_CHUNKS", 7)
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 50)
+    rng = random.Random(2)
+    pieces = ["the", "Wörter", "x.", "İ", "中文", "🙂", "a\nb", "", "  ", "word" * 20, "tail,", "\t", "é!", "it's"]
+    texts = [" ".join(rng.choice(pieces) + rng.choice(["", str(rng.randint(0, 40))]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", " ", "a" * 1000]
+    library = _load(WORD_BPE)
+    own = tokens.LibraryEncoder(WORD_BPE, spaces_kept=False)
+    for batch in (pa.array(texts), pa.array(texts).slice(40, 200), pa.array([], pa.string())):
+        wanted = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in batch.to_pylist()]
+        assert list(own.encode_many(batch)) == wanted
