@@ -128,4 +128,5 @@ SQL: dict[str, str] = {
     "op4_exact_top_k": sql.OP4,
     "op6_jaccard_join": sql.OP6,
     "op7_exact_dedup": sql.OP7,
+    "op13_spelling_variants": sql.OP13,
 }

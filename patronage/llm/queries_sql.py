@@ -117,3 +117,52 @@ l AS (
 r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, len(grams)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = doc_id) AS component_id FROM g
 """
+
+
+def _crc_table() -> str:
+    """The 256 entries of the CRC-32 table, by its rule."""
+    step = "SELECT i, CAST(i AS BIGINT) AS x FROM range(256) r(i)"
+    for _ in range(8):
+        step = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({step})"
+    return step
+
+
+OP13 = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS entries FROM ({_crc_table()})),
+runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents)),
+kinds AS (
+    SELECT w, times, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+           lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END)) AS bytes
+    FROM (SELECT doc_id, w, count(*) AS times FROM runs GROUP BY ALL)),
+hashed AS (
+    SELECT w, times, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+           lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) AS h
+    FROM kinds, crc),
+words AS MATERIALIZED (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+        SELECT times, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word
+        FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS MATERIALIZED (
+    SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+near AS (
+    SELECT a.word AS word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (
+    SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+           row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+    FROM near JOIN words o ON near.other = o.word),
+formed AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+           CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r ON w.word = r.word),
+chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON chain.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed l ON c.at = l.word WHERE l.form IS NULL
+"""
