@@ -143,13 +143,30 @@ def _starts(table: DataFrame, rows: int, ks: Sequence[int], seeds: Sequence[int]
     return [_chosen(c, np.maximum(w, 1e-9), k, np.random.default_rng([s, k])) for c, w, k, s in zip(known, weights, ks, seeds)]
 
 
+def _table(features: DataFrame, column: str) -> DataFrame:
+    row = vector_to_array(column)
+    return durable(features.select(row.alias("row"), F.xxhash64(row).alias("draw")))
+
+
+def micro_clusters(
+    features: DataFrame, k: int, seed: int, passes: int, column: str = "features"
+) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of at most ``k`` clusters of the rows after a few passes."""
+    table = _table(features, column)
+    centres = _starts(table, table.count(), [k], [seed])[0]
+    for _ in range(passes):
+        count, total, _ = _sums(table, [centres])[0]
+        centres = total[count > 0] / count[count > 0, None]
+    return centres, _sums(table, [centres])[0][0]
+
+
 def fit(features: DataFrame, ks: Sequence[int], seeds: Sequence[int], column: str = "features") -> list[Run]:
     """One run per pair of ``ks`` and ``seeds`` over the vector column, all in the same passes.
 
     A run ends when its centres stay put; an empty cluster keeps its centre. Centres are ordered by their
     coordinates. Fewer distinct rows than ``k`` give fewer centres; an empty table gives none.
     """
-    table = durable(features.select(vector_to_array(column).alias("row"), F.xxhash64(vector_to_array(column)).alias("draw")))
+    table = _table(features, column)
     rows = table.count()
     if not rows:
         return [Run(k, np.empty((0, 0)), 0.0) for k in ks]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.labels import MALL_STORE, STANDALONE_STORE
 from patronage.operators.encode import one_hot, range_scale, sd_scale
-from patronage.plans import lloyd
+from patronage.plans import linkage, lloyd
 
 # Cluster count, restarts and range of the elbow curve, and the measures clustered on.
 CLUSTERS = 5
@@ -71,3 +71,8 @@ def hierarchy_labels(features: DataFrame, k: int = CLUSTERS, seed: int = 1) -> D
     model = BisectingKMeans(k=k, seed=seed).fit(features)
     labelled = model.transform(features).withColumn("cluster", F.col("prediction") + 1)
     return labelled.drop("prediction")
+
+
+def linkage_labels(features: DataFrame, k: int = CLUSTERS, method: str = "complete") -> DataFrame:
+    """Every store with its cluster from merging bottom-up, by complete or average linkage."""
+    return linkage.hierarchy(features, method).label(features, k, "cluster")

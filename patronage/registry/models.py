@@ -81,6 +81,23 @@ def ml_bisecting_labels(spark, folder):
     return labelled.select("store_code", "region", "store_format", "cluster")
 
 
+@query()
+def ml_linkage_labels(spark, folder):
+    """The stores grouped bottom-up by complete linkage."""
+    labelled = segments.linkage_labels(_store_features(spark, folder, "sd"))
+    return labelled.select("store_code", "region", "store_format", "cluster")
+
+
+@query(f"SELECT count(*) AS stores, count(DISTINCT store_code) AS labelled, {segments.CLUSTERS} AS clusters FROM fx_stores")
+def ml_linkage_cover(spark, folder):
+    """Every store has exactly one label, and all clusters have stores."""
+    return ml_linkage_labels(spark, folder).agg(
+        F.count(F.lit(1)).alias("stores"),
+        F.countDistinct("store_code").alias("labelled"),
+        F.countDistinct("cluster").cast("int").alias("clusters"),
+    )
+
+
 # ---- affinity ----
 
 
