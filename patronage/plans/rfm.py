@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from patronage.functions.labels import purchase_rule, signed
 from patronage.functions.missing import strict
 from patronage.functions.text import digits_code
 from patronage.operators.ranking import exact_ntiles
+from patronage.sources.published import publish
 
 
 def recency(customers: DataFrame) -> DataFrame:
@@ -65,3 +68,8 @@ def submission(test_pairs: DataFrame, scored: DataFrame) -> DataFrame:
         )
         .orderBy("customer_id", "store_code")
     )
+
+
+def run(customers: DataFrame, transactions: DataFrame, test_pairs: DataFrame, folder: str, at: dt.datetime) -> str:
+    """The whole job: the submission published as ``folder/rfm_<stamp>``, whose path is returned."""
+    return publish(submission(test_pairs, score(base(customers, transactions))), folder, "rfm", at)

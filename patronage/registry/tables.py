@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from patronage.plans import retail, rfm
 from patronage.registry.core import query
 from patronage.registry.rows import WEEK_REPAIRS
 from patronage.session import durable, fresh_folder
-from patronage.sources import delimited, tables, views
+from patronage.sources import delimited, published, tables, views
 
 KEY = views.BOOKING_KEY
 KEY_SQL = ", ".join(KEY)
@@ -348,10 +349,20 @@ def rfm_predict(spark, folder):
     return _scored(spark, folder).select("customer_id", "r", "f", "m", "prediction")
 
 
-@query(
-    """SELECT p.customer_id, CAST(p.store_code AS DOUBLE) AS store_code, CAST(s.prediction AS DOUBLE) AS prediction
-       FROM fx_test_pairs p LEFT JOIN v_scored s ON p.customer_id = s.customer_id"""
-)
+_SUBMISSION_SQL = """
+    SELECT p.customer_id, CAST(p.store_code AS DOUBLE) AS store_code, CAST(s.prediction AS DOUBLE) AS prediction
+    FROM fx_test_pairs p LEFT JOIN v_scored s ON p.customer_id = s.customer_id"""
+
+
+@query(_SUBMISSION_SQL)
+def rfm_published(spark, folder):
+    """The scoring job to its end: the submission published under a stamped name, and read back by its manifest."""
+    data = [views.customers(spark, folder), views.transactions(spark, folder), views.test_pairs(spark, folder)]
+    path = rfm.run(*data, fresh_folder(spark, "results"), dt.datetime.now())
+    return published.read_published(spark, path)
+
+
+@query(_SUBMISSION_SQL)
 def rfm_submission(spark, folder):
     return rfm.submission(views.test_pairs(spark, folder), _scored(spark, folder))
 
