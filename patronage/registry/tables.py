@@ -421,7 +421,15 @@ def booking_features(spark, folder):
 )
 def feat_index(spark, folder):
     df = views.stores(spark, folder).select("store_code", "region", "mall_name")
-    return encode.level_index(df, ["region", "mall_name"])
+    indexed = encode.level_index(df, ["region", "mall_name"])
+    return indexed.withColumns({f"{c}_index": F.col(f"{c}_index").cast("int") for c in ("region", "mall_name")})
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name) - 1 AS c_name_index FROM customer")
+def feat_index_unique(spark, folder):
+    """A column with a level of its own in every row."""
+    df = tables.table(spark, folder, "customer").select("c_custkey", "c_name")
+    return encode.level_index(df, ["c_name"])
 
 
 @query(

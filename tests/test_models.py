@@ -172,7 +172,13 @@ def test_scaling(spark):
 
 def test_levels_get_alphabetical_numbers_and_null_the_next(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
-    assert [r.c_index for r in encode.level_index(df, ["c"]).collect()] == [1, 0, 2, 1]
+    assert sorted((str(r.c), r.c_index) for r in encode.level_index(df, ["c"]).collect()) == [("None", 2), ("a", 0), ("b", 1), ("b", 1)]
+    dictionary = encode.level_dictionary(df, ["c"])
+    later = spark.createDataFrame([("z",), ("b",), (None,)], "c string")
+    assert {r.c: r.c_index for r in encode.level_numbers(later, dictionary, ["c"]).collect()} == {"z": 3, "b": 1, None: 2}
+    assert encode.level_index(df.limit(0), ["c"]).collect() == []
+    other = encode.one_hot(later, "c", ["a", "b"], "c", other=True).collect()
+    assert [(r.c_0, r.c_1, r.c_other) for r in other] == [(0, 0, 1), (0, 1, 0), (None, None, None)]
     hot = encode.one_hot(df, "c", ["a", "b"], "c").collect()
     assert [(r.c_0, r.c_1) for r in hot] == [(0, 1), (1, 0), (None, None), (0, 1)]
 
