@@ -62,10 +62,10 @@ def ml_kmeans_nearest(spark, folder):
 
 @query("SELECT 19 AS ks, true AS falling")
 def ml_elbow_falls(spark, folder):
-    """One cost for every number of clusters, the more clusters the lower."""
+    """One cost for every number of clusters, the more clusters the lower, until every store is its own."""
     curve = ml_elbow(spark, folder)
     before = F.lag("cost").over(Window.orderBy("k"))
-    return curve.select(F.coalesce(F.col("cost") < before, F.lit(True)).alias("falls")).agg(
+    return curve.select(F.coalesce((F.col("cost") < before) | (F.col("cost") < 1e-9), F.lit(True)).alias("falls")).agg(
         F.count(F.lit(1)).cast("int").alias("ks"), F.min("falls").alias("falling")
     )
 
