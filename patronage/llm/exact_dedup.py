@@ -6,8 +6,8 @@ documents get the same name exactly if their normalised texts are identical, bec
 content at every level.
 
 The blocks are sorted by a 64-bit fingerprint and their length, and the contents behind each fingerprint are
-compared: should two contents ever share one, all blocks are fingerprinted anew with another salt. Contents thus
-travel through one shuffle, after equal blocks have met in their map task, and only numbers travel in all others.
+compared: those that share one are named by their contents. Contents thus travel through one shuffle, after equal
+blocks have met in their map task, and in all others only numbers and the few contents that share a fingerprint.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from patronage.session import durable
 
 BLOCK_CHARS = 4096
 _NO_RIGHT = -1
+_BLOCK = ["_hash", "_chars", "_twin"]
 
 
 def normalised(text: Column) -> Column:
@@ -37,45 +38,50 @@ def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return durable(distinct.sortWithinPartitions(*keys).withColumn("_name", F.monotonically_increasing_id()))
 
 
-def _block_names(docs: DataFrame, size: int, salt: int) -> DataFrame:
-    """(_hash, _chars) -> _name over all blocks, with the number of contents found behind each fingerprint."""
+def _fingerprint(block: Column) -> Column:
+    return F.xxhash64(block)
+
+
+def _block_names(docs: DataFrame, size: int) -> DataFrame:
+    """(_hash, _chars, _twin) -> _name over all blocks; _twin is the content where several share a fingerprint, or empty."""
     one = docs.select(F.explode(blocks(normalised(F.col("text")), size)).alias("_block"))
-    kinds = one.groupBy(F.xxhash64(F.lit(salt), "_block").alias("_hash"), F.length("_block").alias("_chars")).agg(
-        F.size(F.collect_set("_block")).alias("_contents")
+    kinds = one.groupBy(_fingerprint(F.col("_block")).alias("_hash"), F.length("_block").alias("_chars")).agg(
+        F.collect_set("_block").alias("_contents")
     )
-    return _numbered(kinds, ["_hash", "_chars"])
-
+    # Blocks of one length differ only if they have code points, so an empty block is never a twin.
+    twins = F.when(F.size("_contents") > 1, F.col("_contents")).otherwise(F.array(F.lit("")))
+    return _numbered(kinds.select("_hash", "_chars", F.explode(twins).alias("_twin")), _BLOCK)
 
-def _named_documents(docs: DataFrame, size: int) -> DataFrame:
-    """Every row as ``_row``, doc_id, ``_length``, text_sha256 and its identity (``_level``, ``_name``)."""
-    salt = 0
-    names = _block_names(docs, size, salt)
-    while not names.where(F.col("_contents") > 1).isEmpty():
-        salt += 1
-        names = _block_names(docs, size, salt)
 
+def _placed_blocks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """One row per block (``_row``, ``_count``, ``_place``, its fingerprint); the first of a text has the row's columns."""
     text = normalised(F.col("text"))
-    marks = F.transform(
-        blocks(text, size),
-        lambda b: F.struct(F.xxhash64(F.lit(salt), b).alias("_hash"), F.length(b).alias("_chars")),
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "doc_id",
+        F.coalesce(F.length("text"), F.lit(0)).alias("_length"),
+        F.sha2(text, 256).alias("text_sha256"),
+        blocks(text, size).alias("_blocks"),
     )
-    rows = durable(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            "doc_id",
-            F.coalesce(F.length("text"), F.lit(0)).alias("_length"),
-            F.sha2(text, 256).alias("text_sha256"),
-            marks.alias("_marks"),
-        )
+    own = [F.when(F.col("_place") == 0, F.col(c)).alias(c) for c in ("doc_id", "_length", "text_sha256")]
+    placed = rows.select("*", F.size("_blocks").alias("_count"), F.posexplode("_blocks").alias("_place", "_block")).select(
+        "_row", "_count", "_place", *own, _fingerprint(F.col("_block")).alias("_hash"), F.length("_block").alias("_chars"), "_block"
     )
-    most = rows.agg(F.max(F.size("_marks"))).first()[0] or 1
+    twins = durable(names.where("_twin <> ''").select("_hash", "_chars").distinct().withColumn("_shared", F.lit(True)))
+    if twins.isEmpty():
+        return durable(placed.withColumn("_twin", F.lit("")).drop("_block"))
+    twin = F.when(F.col("_shared"), F.col("_block")).otherwise("").alias("_twin")
+    return durable(placed.join(twins, ["_hash", "_chars"], "left").select(*placed.columns, twin).drop("_block"))
+
+
+def _named_documents(docs: DataFrame, size: int) -> DataFrame:
+    """Every row as ``_row``, doc_id, ``_length``, text_sha256 and its identity (``_level``, ``_name``)."""
+    names = _block_names(docs, size)
+    placed = _placed_blocks(docs, names, size)
+    most = placed.agg(F.max("_count")).first()[0] or 1
     levels = (most - 1).bit_length()
 
-    placed = rows.select(
-        "_row", F.size("_marks").alias("_count"), F.posexplode("_marks").alias("_place", "_mark")
-    ).select("_row", "_count", "_place", "_mark._hash", "_mark._chars")
-    level0 = placed.join(names.drop("_contents"), ["_hash", "_chars"]).select("_row", "_count", "_place", "_name")
-    current = durable(level0)
+    current = durable(placed.join(names, _BLOCK).select("_row", "_count", "_place", "_name"))
     done = [current.where("_count = 1").select("_row", F.lit(0).alias("_level"), "_name")]
     for level in range(1, levels + 1):
         open_rows = current.where("_count > 1")
@@ -95,7 +101,7 @@ def _named_documents(docs: DataFrame, size: int) -> DataFrame:
     identities = done[0]
     for more in done[1:]:
         identities = identities.unionByName(more)
-    return rows.drop("_marks").join(identities, "_row")
+    return placed.where("_place = 0").select("_row", "doc_id", "_length", "text_sha256").join(identities, "_row")
 
 
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

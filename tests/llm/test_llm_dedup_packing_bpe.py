@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.llm import bpe, exact_dedup, packing
 from patronage.llm.tokens import BYTE_BPE, WORD_BPE, _load, encoder
@@ -36,8 +37,10 @@ def docs(spark):
     return spark.createDataFrame(DOCS, SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("size", [2, 5, 4096])
-def test_exact_dedup_against_grouping(docs, size):
+@pytest.mark.parametrize("size, fingerprints", [(2, None), (5, None), (4096, None), (2, 4), (4096, 2)])
+def test_exact_dedup_against_grouping(docs, monkeypatch, size, fingerprints):
+    if fingerprints:
+        monkeypatch.setattr(exact_dedup, "_fingerprint", lambda block: F.pmod(F.xxhash64(block), F.lit(fingerprints)))
     data = DOCS if size > 2 else [d for d in DOCS if len(d[1] or "") < 100]
     rows = exact_dedup.exact_dedup(docs.where("length(text) < 100 or text is null") if size == 2 else docs, size).collect()
     groups = defaultdict(list)

@@ -402,6 +402,25 @@ def test_linked_groups_against_all_pairs(spark, monkeypatch, block, common):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize("mask", [255, 7])
+def test_sets_under_one_key_keep_their_links(spark, monkeypatch, mask):
+    rng = random.Random(5)
+    texts = near_copies(rng, 25, 6) + [None, "", "a b", "A b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "KEY_MASK", mask)
+    found = {r[0]: (r[1], r[2]) for r in jaccard_join.link(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    assert found == {i: (len(sets[i]), root) for i, root in enumerate(brute_components(sets))}
+
+
+def test_too_many_sets_under_one_key_stop_the_job(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "KEY_MASK", 1)
+    monkeypatch.setattr(jaccard_join, "RENAMED", 3)
+    with pytest.raises(ValueError, match="share a 64-bit key"):
+        jaccard_join.link(docs)
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
