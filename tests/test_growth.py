@@ -9,7 +9,7 @@ from patronage.plans import affinity, subspace
 def _cells(spark, customers=40, stores=12):
     rng = np.random.default_rng(5)
     table = np.where(rng.random((customers, stores)) < 0.4, rng.normal(3, 2, (customers, stores)), 0.0)
-    rows = [(c, s, float(table[c, s])) for c, s in zip(*np.nonzero(table))]
+    rows = [(int(c), int(s), float(table[c, s])) for c, s in zip(*np.nonzero(table))]
     return table, spark.createDataFrame(rows, "customer_id long, store_code long, value double")
 
 
@@ -20,3 +20,17 @@ def test_all_values_need_no_vector_per_customer(spark, monkeypatch, pairs):
     monkeypatch.setattr(subspace, "_multiplied", lambda *_, **__: pytest.fail("customer vectors"))
     table, cells = _cells(spark)
     assert np.allclose(affinity.decompose(cells).values, np.linalg.svd(table, compute_uv=False))
+
+
+def test_a_flat_spectrum_is_not_doubled_up_to(spark, monkeypatch):
+    tried = []
+    iterated = subspace._iterated
+    monkeypatch.setattr(subspace, "_iterated", lambda t, width, *a: tried.append(width) or iterated(t, width, *a))
+    monkeypatch.setattr(subspace, "_products", lambda tiles, own=subspace._products: tried.append("products") or own(tiles))
+    cells = spark.range(300).selectExpr("id % 300 as customer_id", "id as store_code", "5.0D + id % 7 as value")
+    found = affinity.decompose_share(cells, 0.9)
+    lengths = np.sort(5.0 + np.arange(300) % 7)[::-1]
+    assert np.allclose(found.values, lengths) and tried == [48, "products"]
+    rank = found.rank_for(0.9)
+    scored = {r.customer_id: r["6"] for r in affinity.scores(cells, found, [6], rank).collect()}
+    assert abs(scored[6] - 11.0) < 1e-9 and abs(scored[5]) < 1e-9
