@@ -24,6 +24,7 @@ from patronage.session import durable
 ROUNDS = 4  # of oversampling
 MOST_PASSES = 100
 ROWS_AT_ONCE = 4096
+DISTANCES_AT_ONCE = 1 << 20  # in a worker
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class Run:
         @F.pandas_udf("int")
         def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for values in batches:
-                found = _distances(np.stack(values.to_numpy()), centres).argmin(axis=1) + 1 if len(values) else []
+                found = nearest_of(np.stack(values.to_numpy()), centres) + 1 if len(values) else []
                 yield pd.Series(np.asarray(found, dtype=np.int32))
 
         return features.withColumn(name, nearest(vector_to_array(column)))
@@ -52,11 +53,24 @@ def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.clip(squares, 0, None)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row vectors, and a random number of each."""
+def _rows_at_once(centres: int) -> int:
+    """How many rows may meet the centres at a time."""
+    return max(1, min(ROWS_AT_ONCE, DISTANCES_AT_ONCE // max(1, centres)))
+
+
+def nearest_of(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each row's nearest centre, some rows at a time."""
+    step = _rows_at_once(len(centres))
+    parts = [_distances(rows[b : b + step], centres).argmin(axis=1) for b in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row vectors, as many as may meet the centres at a time, and a random number of each."""
+    step = _rows_at_once(centres)
     for batch in batches:
-        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(begin, ROWS_AT_ONCE)
+        for begin in range(0, batch.num_rows, step):
+            part = batch.slice(begin, step)
             rows = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
             yield rows, part.column(1).to_numpy().astype(np.uint64)
 
@@ -77,7 +91,7 @@ def _sums(table: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, cost = np.zeros((len(every), width + 1)), np.zeros(len(centres))
-        for rows, _ in _chunks(batches):
+        for rows, _ in _chunks(batches, len(every)):
             apart = _distances(rows, every)
             full = np.column_stack([np.ones(len(rows)), rows])
             for i, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -99,7 +113,7 @@ def _drawn(table: DataFrame, known: list[np.ndarray], chances: list[float], salt
     """New candidates of every run: rows drawn with a chance of their squared distance times the run's factor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, draws in _chunks(batches):
+        for rows, draws in _chunks(batches, max(map(len, known), default=0)):
             for i, (own, chance, salt) in enumerate(zip(known, chances, salts)):
                 apart = _distances(rows, own).min(axis=1) if len(own) else np.ones(len(rows))
                 picked = rows[_uniform(draws, salt) < chance * apart]

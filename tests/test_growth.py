@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from patronage.plans import affinity, subspace
+from patronage.plans import affinity, lloyd, subspace
 
 
 def _cells(spark, customers=40, stores=12):
@@ -34,3 +34,13 @@ def test_a_flat_spectrum_is_not_doubled_up_to(spark, monkeypatch):
     rank = found.rank_for(0.9)
     scored = {r.customer_id: r["6"] for r in affinity.scores(cells, found, [6], rank).collect()}
     assert abs(scored[6] - 11.0) < 1e-9 and abs(scored[5]) < 1e-9
+
+
+def test_rows_meet_many_centres_few_at_a_time(monkeypatch):
+    sizes = []
+    distances = lloyd._distances
+    monkeypatch.setattr(lloyd, "_distances", lambda a, b: sizes.append(len(a) * len(b)) or distances(a, b))
+    rng = np.random.default_rng(1)
+    rows, centres = rng.normal(size=(10_000, 4)), rng.normal(size=(2_000, 4))
+    assert (lloyd.nearest_of(rows, centres) == distances(rows, centres).argmin(axis=1)).all()
+    assert max(sizes) <= lloyd.DISTANCES_AT_ONCE and len(sizes) > 10
