@@ -75,6 +75,14 @@ def calendar_parts(df: DataFrame) -> DataFrame:
     )
 
 
+def cut_ids(
+    df: DataFrame, width: int, id_columns: Sequence[str] = ("memberid", "resort_id")
+) -> DataFrame:
+    """The ids cut to a length, where the columns are there."""
+    present = [c for c in id_columns if c in df.columns]
+    return across(df, present, lambda c: shorten(c, width))
+
+
 def clean(
     df: DataFrame,
     id_width: int | None = None,
@@ -88,8 +96,7 @@ def clean(
     statistics then describe all of them together.
     """
     if id_width is not None:
-        present = [c for c in id_columns if c in df.columns]
-        df = across(df, present, lambda c: shorten(c, id_width))
+        df = cut_ids(df, id_width, id_columns)
     df = calendar_parts(repair_nights(repair_lead(df)))
     df = fill_by_map(df, "season_holidayed_code", "checkin_quarter", seasons)
     df = fill_constants(df, {"state_code_residence": home_state})
@@ -187,12 +194,17 @@ def encodings(cleaned: DataFrame, target: str) -> dict[str, DataFrame]:
 def features(bookings: DataFrame, target: str = "amount", id_width: int | None = None) -> DataFrame:
     """All features of every booking.
 
-    The bookings are computed twice: once for the columns that statistics are taken from, which are kept, and
-    once for the rows that all statistics are joined to.
+    The bookings are kept once as they come, with the ids cut. The member statistics meet these narrow rows, which
+    are the ones that are shuffled where the statistics are too large to broadcast; what follows from a row alone is
+    added after that join.
     """
-    cleaned = clean(bookings, id_width)
-    narrow = durable(cleaned.select(*dict.fromkeys([*STATISTICS_INPUT, target])))
-    out = attach_member_stats(cleaned, narrow)
+    if id_width is not None:
+        bookings = cut_ids(bookings, id_width)
+    bookings = durable(bookings)
+    cleaned = clean(bookings)
+    narrow = cleaned.select(*dict.fromkeys([*STATISTICS_INPUT, target]))
+    met = attach_member_stats(bookings, narrow)
+    out = clean(met).select(*cleaned.columns, *[c for c in met.columns if c not in bookings.columns])
     for table in encodings(narrow, target).values():
         out = natural_left_join(out, durable(table))
     return out

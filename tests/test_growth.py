@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from patronage.plans import affinity, lloyd, subspace
+from patronage.plans import affinity, bookings, lloyd, subspace
+from patronage.sources import views
 
 
 def _cells(spark, customers=40, stores=12):
@@ -44,3 +45,15 @@ def test_rows_meet_many_centres_few_at_a_time(monkeypatch):
     rows, centres = rng.normal(size=(10_000, 4)), rng.normal(size=(2_000, 4))
     assert (lloyd.nearest_of(rows, centres) == distances(rows, centres).argmin(axis=1)).all()
     assert max(sizes) <= lloyd.DISTANCES_AT_ONCE and len(sizes) > 10
+
+
+def test_member_statistics_meet_narrow_rows(spark, small, monkeypatch):
+    met = []
+    attach = bookings.attach_member_stats
+    monkeypatch.setattr(bookings, "attach_member_stats", lambda df, source=None: met.append(df) or attach(df, source))
+    rows = views.bookings(spark, small)
+    found = bookings.features(rows, id_width=9)
+    assert met[0].columns == rows.columns and "Join" not in met[0]._jdf.queryExecution().optimizedPlan().toString()
+    cleaned = bookings.clean(rows, 9)
+    assert found.columns[: len(cleaned.columns)] == cleaned.columns
+    assert found.select(cleaned.columns).exceptAll(cleaned).isEmpty() and found.count() == rows.count()
