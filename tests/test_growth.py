@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from patronage.plans import affinity, bookings, lloyd, subspace
+from patronage.plans import affinity, bookings, boosting, lloyd, subspace
 from patronage.sources import views
 
 
@@ -57,3 +59,17 @@ def test_member_statistics_meet_narrow_rows(spark, small, monkeypatch):
     cleaned = bookings.clean(rows, 9)
     assert found.columns[: len(cleaned.columns)] == cleaned.columns
     assert found.select(cleaned.columns).exceptAll(cleaned).isEmpty() and found.count() == rows.count()
+
+
+def test_a_tree_takes_one_job_per_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
+    x = F.array(*[(F.xxhash64("id", F.lit(k)) % 100).cast("double") for k in range(3)])
+    rows = spark.range(300).select("id", array_to_vector(x).alias("tree_features"), (x[0] + x[1]).alias("label"))
+    jobs = {}
+    for trees in (1, 4):
+        spark.sparkContext.setJobGroup(f"trees-{trees}", "boosting")
+        model = boosting.BoostedTrees(trees, 0.1, 3, keys=("id",)).fit(rows)
+        jobs[trees] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{trees}"))
+        assert len(model.trees) == trees
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[4] - jobs[1] == 3 * 3
