@@ -39,6 +39,24 @@ def test_a_flat_spectrum_is_not_doubled_up_to(spark, monkeypatch):
     assert abs(scored[6] - 11.0) < 1e-9 and abs(scored[5]) < 1e-9
 
 
+def test_a_share_of_many_stores_takes_one_decomposition_and_no_trial(spark, monkeypatch):
+    called = []
+    for name in ("eigh", "eigvalsh"):
+        own = getattr(np.linalg, name)
+        monkeypatch.setattr(np.linalg, name, lambda *a, n=name, f=own, **k: called.append(n) or f(*a, **k))
+    monkeypatch.setattr(subspace, "FEW_STORES", 10)
+    monkeypatch.setattr(subspace, "_iterated", lambda *_: pytest.fail("a trial"))
+    table, cells = _cells(spark)
+    wide = cells.unionAll(cells.selectExpr("customer_id + 1000", "store_code + 1000", "2 * value"))
+    wide = wide.unionAll(spark.range(200).selectExpr("id + 5000", "id + 5000", "1.0D"))
+    found = affinity.decompose_share(wide, 0.9)
+    svd = np.linalg.svd(table, compute_uv=False)
+    assert np.allclose(found.values, np.sort(np.concatenate([svd, 2 * svd, np.ones(200)]))[::-1][: len(found.values)])
+    rank = found.rank_for(0.9)
+    scored = affinity.scores(wide, found, [5007], len(found.values)).where("customer_id = 5007").first()
+    assert abs(scored["5007"] - 1.0) < 1e-6 and rank < len(found.values) and called == ["eigh"]
+
+
 def test_rows_meet_many_centres_few_at_a_time(monkeypatch):
     sizes = []
     distances = lloyd._distances
