@@ -1,6 +1,7 @@
 """Invariants of segmentation, affinity and regression."""
 
 import dataclasses
+import threading
 
 import numpy as np
 import pytest
@@ -314,6 +315,15 @@ def test_search_and_blend(vectors):
     assert out.count() == test.count()
 
 
+def test_candidates_are_fitted_side_by_side(vectors, monkeypatch):
+    train, _ = vectors
+    met, own = threading.Barrier(2, timeout=60), regress.fit
+    few = {n: e for n, e in regress.search_candidates(trees=1).items() if n in ("linear_1", "linear_100")}
+    alone = {n: regress.leaderboard(train, {n: e})[0][2] for n, e in few.items()}
+    monkeypatch.setattr(regress, "fit", lambda estimator, rows: (met.wait(), own(estimator, rows))[1])
+    assert {name: error for _, name, error in regress.leaderboard(train, few)} == pytest.approx(alone)
+
+
 def test_ten_candidates():
     assert len(regress.search_candidates()) == 10
 
