@@ -14,9 +14,12 @@ Content is kept with more care, as articles quote and copy each other: only wind
 have count there, and only where all tokens in them are at most ``CONTENT_SHARE`` of the page's content. So a share line
 or a notice goes, while an article that many pages copy, with changes or without, stays whole.
 
-A host of more than ``GROUP_CHARS`` is dealt over several suffix arrays. Each hands on a 64-bit hash of every window it
-has, with its numbers of pages; a page lies in one array only, so the sums over the arrays are those of the whole host,
-and the texts do not depend on how it was dealt.
+A host of more than ``GROUP_CHARS`` is dealt over several suffix arrays. A page lies in one array only, so the numbers of
+pages summed over the arrays are those of the whole host, and the texts do not depend on how it was dealt. Only windows
+that several arrays have and several pages have outside their content need such sums. They are found in two rounds: every
+array hands on the leading bits of all its windows' hashes, about two bytes a window, and learns which of them may be
+such windows; of these alone it hands on the 64-bit hashes with their numbers of pages. The parsed pages are dealt once,
+their texts compressed, and read by both rounds and the judgement.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CONTENT_SHARE = 0.25
 GROUP_CHARS = 1_000_000  # of mark-up in one suffix array, about; a larger host is dealt over several
 BUCKET_CHARS = 16_000_000  # of mark-up whose window hashes are compared in one group, about, at most
 LEAST_BUCKETS = 16
+SPARE_BITS = 3  # of the hashes' leading bits, beyond those that number a host's characters
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MARKUP = re.compile(
@@ -274,25 +279,46 @@ class Stream:
                         self.words += parts
                 lengths.append(len(self.words) - before)
             self.spans.append(own)
-        segment = np.repeat(np.arange(len(lengths)), lengths)
+        self.lengths = np.array(lengths, dtype=np.int64)
+        self.segment = np.repeat(np.arange(len(lengths)), lengths)
         self.tokens, self.names = pd.factorize(np.array(self.words, dtype=object))
-        self.places, self.group = windows(self.tokens, segment, length)
-        self.content = segment[self.places] % 2 == 1
-        page = segment[self.places] // 2
+
+    def counted(self) -> Stream:
+        """The stream with the windows of its suffix array and their numbers of pages."""
+        self.places, self.group = windows(self.tokens, self.segment, self.length)
+        self.content = self.segment[self.places] % 2 == 1
+        page = self.segment[self.places] // 2
         n = int(self.group[-1]) + 1 if len(self.group) else 0
         self.n_all = pages_of(self.group, page, n)
         self.n_open = pages_of(self.group[~self.content], page[~self.content], n)
+        return self
 
-    def hashes(self) -> np.ndarray:
-        """A hash of the words of each window, the same in every stream."""
+    def _hashes_at(self, places: np.ndarray) -> np.ndarray:
         word = pd.util.hash_array(np.asarray(self.names, dtype=object), categorize=False) if len(self.names) else None
-        first = self.places[np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])[: len(self.group)])]
-        total = np.zeros(len(first), dtype=np.uint64)
-        for k in range(self.length if len(first) else 0):
-            total = (total ^ word[self.tokens[first + k]]) * _MIX
+        total = np.zeros(len(places), dtype=np.uint64)
+        for k in range(self.length if len(places) else 0):
+            total = (total ^ word[self.tokens[places + k]]) * _MIX
             total ^= total >> np.uint64(32)
         return total
 
+    def hashes(self) -> np.ndarray:
+        """A hash of the words of each window, the same in every stream."""
+        return self._hashes_at(self.places[np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])[: len(self.group)])])
+
+    def leading(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct leading bits of all windows' hashes, rising, and how many pages have them outside their content.
+
+        This takes no suffix array: what windows have in common but their leading bits does not matter here.
+        """
+        end = np.repeat(np.cumsum(self.lengths), self.lengths)
+        places = np.flatnonzero(np.arange(len(end)) + self.length <= end)
+        found = self._hashes_at(places) >> np.uint64(64 - bits)
+        order = np.argsort(found, kind="stable")
+        found, segment = found[order], self.segment[places[order]]
+        new = np.append(True, found[1:] != found[:-1])[: len(found)]
+        group, is_open = np.cumsum(new) - 1, segment % 2 == 0
+        return found[new], pages_of(group[is_open], segment[is_open] // 2, int(new.sum()))
+
     def learn(self, known: np.ndarray, n_all: np.ndarray, n_open: np.ndarray) -> None:
         """Takes the host's numbers of pages for the windows whose hashes are ``known``, which are sorted."""
         own = self.hashes()
@@ -323,10 +349,59 @@ class Stream:
 
 
 def _pages(frame: pd.DataFrame) -> Iterator[list[tuple[int, str]]]:
-    for kinds, texts in zip(frame["kinds"], frame["texts"]):
+    for kinds, size, packed in zip(frame["kinds"], frame["size"], frame["texts"]):
+        texts = _ZSTD.decompress(packed, decompressed_size=size, asbytes=True).decode() if size else ""
         yield list(zip(map(int, kinds), texts.split("\n")))
 
 
+def _zipped(blocks: list[tuple[int, str]]) -> tuple[str, int, bytes]:
+    """The kinds of a page's blocks, and the size and the compressed bytes of their texts."""
+    texts = "\n".join(text for _, text in blocks).encode()
+    return "".join(str(kind) for kind, _ in blocks), len(texts), _ZSTD.compress(texts, asbytes=True) if texts else b""
+
+
+def _gaps(rising: np.ndarray) -> bytes:
+    """Rising numbers by their differences: all lowest bytes, then all second ones, as far as there are any."""
+    planes = np.diff(rising, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = int(planes.any(axis=1).nonzero()[0].max(initial=0)) + 1
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def _from_gaps(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
+    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    wide[:, : packed[0]] = planes.T
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def _edges(rising: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where each of so many equal ranges of numbers of so many bits begins among rising ones, and the end."""
+    ends = [np.uint64(-(-(b << bits) // buckets)) for b in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(rising, np.array(ends, dtype=np.uint64)), [len(rising)]]).astype(np.int64)
+
+
+def suspects(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, flags) for the parts with any flag: the leading bits that several parts and several open pages have.
+
+    ``frame`` has one row per part: its leading bits, and which of them one or two of its pages have outside content.
+    """
+    found = [_from_gaps(packed) for packed in frame["leading"]]
+    number, parts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)[1:]
+    n_open = np.zeros(len(parts), dtype=np.int64)
+    begin = 0
+    for own, one, two in zip(found, frame["one"], frame["two"]):
+        for packed in (one, two):
+            n_open[number[begin : begin + len(own)]] += np.unpackbits(np.frombuffer(packed, np.uint8), count=len(own))
+        begin += len(own)
+    wanted = ((parts > 1) & (n_open > 1))[number]
+    begin = 0
+    for part, own in zip(frame["part"], found):
+        flags = wanted[begin : begin + len(own)]
+        begin += len(own)
+        if flags.any():
+            yield part, flags
+
+
 _COUNTED = ("hashes", "n_all", "n_open")
 _TYPES = (np.uint64, np.uint32, np.uint32)
 
@@ -373,26 +448,48 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [parse(source.as_py()) for source in batch.column(4)]
-            made = [
-                pa.array(["".join(str(kind) for kind, _ in own) for own in blocks], pa.string()),
-                pa.array(["\n".join(text for _, text in own) for own in blocks], pa.string()),
+            made = list(zip(*(_zipped(parse(source.as_py())) for source in batch.column(6)))) or [(), (), ()]
+            columns = [pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.binary()))]
+            names = ["host", "part", "buckets", "bits", "page_id", "url", "kinds", "size", "texts"]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(6)] + columns, names)
+
+    def lead(group: pd.DataFrame) -> pd.DataFrame:
+        buckets, bits = int(group["buckets"].iloc[0]), int(group["bits"].iloc[0])
+        rows = []
+        if buckets:
+            found, n_open = Stream(_pages(group), run_tokens).leading(bits)
+            edges = _edges(found, buckets, bits)
+            host, part = group["host"].iloc[0], group["part"].iloc[0]
+            for b, (i, k) in enumerate(zip(edges, edges[1:])):
+                if k > i:
+                    flags = (np.packbits(n_open[i:k] >= n).tobytes() for n in (1, 2))
+                    rows.append((host, b, part, _gaps(found[i:k]), *flags))
+        return pd.DataFrame(rows, columns=["host", "bucket", "part", "leading", "one", "two"])
+
+    def suspect(group: pd.DataFrame) -> pd.DataFrame:
+        host, bucket = group["host"].iloc[0], group["bucket"].iloc[0]
+        rows = [(host, part, bucket, np.packbits(flags).tobytes()) for part, flags in suspects(group)]
+        return pd.DataFrame(rows, columns=["host", "part", "bucket", "flags"])
+
+    def count(group: pd.DataFrame, suspected: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(suspected):
+            buckets, bits = int(group["buckets"].iloc[0]), int(group["bits"].iloc[0])
+            stream = Stream(_pages(group), run_tokens).counted()
+            hashes = stream.hashes()
+            order = np.argsort(hashes)
+            lead, number = np.unique(hashes[order] >> np.uint64(64 - bits), return_inverse=True)
+            edges, wanted = _edges(lead, buckets, bits), np.zeros(len(lead), dtype=bool)
+            for b, flags in zip(suspected["bucket"], suspected["flags"]):
+                wanted[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=edges[b + 1] - edges[b])
+            order = order[wanted[number]]
+            begins = _edges(hashes[order] >> np.uint64(64 - bits), buckets, bits)
+            host, part = group["host"].iloc[0], group["part"].iloc[0]
+            rows = [
+                (host, b, part, *_packed(hashes[own], stream.n_all[own], stream.n_open[own]))
+                for b, (i, k) in enumerate(zip(begins, begins[1:]))
+                if len(own := order[i:k])
             ]
-            names = ["host", "part", "page_id", "url", "kinds", "texts"]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + made, names)
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        stream = Stream(_pages(group), run_tokens)
-        hashes, buckets = stream.hashes(), int(group["buckets"].iloc[0])
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        host, part = group["host"].iloc[0], group["part"].iloc[0]
-        rows = [
-            (host, b, part, *_packed(hashes[own], stream.n_all[own], stream.n_open[own]))
-            for b in range(buckets)
-            if len(own := order[edges[b] : edges[b + 1]])
-        ]
         return pd.DataFrame(rows, columns=["host", "bucket", "part", *_COUNTED])
 
     def share(group: pd.DataFrame) -> pd.DataFrame:
@@ -401,7 +498,7 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
         return pd.DataFrame(rows, columns=["host", "part", *_COUNTED])
 
     def judge(group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        stream = Stream(_pages(group), run_tokens)
+        stream = Stream(_pages(group), run_tokens).counted()
         if len(shared):
             columns = _unpacked(shared)
             order = np.argsort(columns[0])
@@ -415,23 +512,20 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS) -> DataFrame:
             "host",
             F.ceil(F.col("chars") / GROUP_CHARS).cast("int").alias("parts"),
             (F.ceil(F.col("chars") / BUCKET_CHARS) + LEAST_BUCKETS).cast("int").alias("buckets"),
+            F.least(F.ceil(F.log2("chars")) + SPARE_BITS, F.lit(60)).cast("int").alias("bits"),
         )
     )
     part = F.coalesce(F.pmod(F.xxhash64("url", "page_id", "html"), F.col("parts")), F.lit(0)).cast("int").alias("part")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        kept = "host string, part int, page_id long, url string, kinds string, texts string"
-        return rows.select("host", part, "page_id", "url", "html").mapInArrow(streams, kept)
-
+    known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("buckets", "bits")]
+    kept = "host string, part int, buckets int, bits int, page_id long, url string, kinds string, size long, texts binary"
+    rows = own.join(large, "host", "left").select("host", part, *known, "page_id", "url", "html").mapInArrow(streams, kept)
+
+    # All three readers take whole rows by the same keys, so that Spark deals the pages once and reuses that exchange.
+    dealt = rows.groupBy("host", "part")
+    leading = dealt.applyInPandas(lead, "host string, bucket int, part int, leading binary, one binary, two binary")
+    suspected = leading.groupBy("host", "bucket").applyInPandas(suspect, "host string, part int, bucket int, flags binary")
     counted = f"part int, {_COUNTED[0]} binary, {_COUNTED[1]} binary, {_COUNTED[2]} binary"
-    windowed = (
-        blocks(own.join(large, "host"))
-        .select("host", "part", "kinds", "texts")
-        .join(large.select("host", "buckets"), "host")
-        .groupBy("host", "part")
-        .applyInPandas(count, f"host string, bucket int, {counted}")
-    )
+    windowed = dealt.cogroup(suspected.groupBy("host", "part")).applyInPandas(count, f"host string, bucket int, {counted}")
     shared = windowed.groupBy("host", "bucket").applyInPandas(share, f"host string, {counted}")
     result = "page_id long, url string, text string, n_chars long"
-    dealt = blocks(own.join(large, "host", "left")).groupBy("host", "part")
     return dealt.cogroup(shared.groupBy("host", "part")).applyInPandas(judge, result)

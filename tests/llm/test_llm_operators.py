@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,43 @@ def test_main_text_does_not_depend_on_how_a_host_is_dealt(spark, monkeypatch):
     assert len({len(text.split("\n\n")) for text in found[0].values()}) == 2
 
 
+def test_main_text_deals_pages_once_and_sums_up_few_windows(spark, monkeypatch):
+    monkeypatch.setattr(main_text, "GROUP_CHARS", 5_000)
+    notice = "one notice that two pages have beside their articles here"
+    quoted = "one long line that many articles quote word by word here"
+    rows = []
+    for i in range(60):
+        beside = notice if i in (7, 50) else f"p{i} " * 9
+        rows.append((i, f"http://h.org/{i}", f"<article><p>{' '.join(f'w{i}x{k}' for k in range(40))}<p>{quoted}</article><div>{beside}</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = main_text.extract(pages)
+    assert len(found.collect()) == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") >= 2
+    # Of the windows of several parts only those open on several pages have their whole hashes handed on.
+    parts = [main_text.Stream([main_text.parse(html) for _, _, html in rows[k::4]]) for k in range(4)]
+    leading = [part.leading(40) for part in parts]
+    frame = pd.DataFrame(
+        [(k, main_text._gaps(f), *(np.packbits(n >= m).tobytes() for m in (1, 2))) for k, (f, n) in enumerate(leading)],
+        columns=["part", "leading", "one", "two"],
+    )
+    flags = dict(main_text.suspects(frame))
+    words = len(notice.split()) - main_text.RUN_TOKENS + 1
+    assert {k: int(f.sum()) for k, f in flags.items()} == {7 % 4: words, 50 % 4: words}
+    for part, (lead, n_open) in zip(parts, leading):
+        hashes, order = part.counted().hashes(), np.argsort(part.hashes())
+        assert (hashes[order] >> np.uint64(24) == lead).all() and (part.n_open[order] == n_open).all()
+
+
+def test_rising_numbers_by_their_gaps():
+    for numbers in ([], [0], [2**60 - 1], [0, 1, 2, 300, 70_000, 2**40, 2**60 - 1]):
+        rising = np.array(numbers, dtype=np.uint64)
+        assert main_text._from_gaps(main_text._gaps(rising)).tolist() == numbers
+        edges = main_text._edges(rising, 17, 60)
+        assert edges[0] == 0 and edges[-1] == len(numbers) and len(edges) == 18
+        assert all((n * 17) >> 60 == b for b in range(17) for n in numbers[edges[b] : edges[b + 1]])
+
+
 # --- License scan ---
 
 
