@@ -22,13 +22,13 @@ from patronage.llm.tokens import BYTE_BPE, encoder
 from patronage.session import fresh_folder
 
 END_ID = 2
-BLOCK_IDS = 2048
-SEGMENT_IDS = 128 * BLOCK_IDS  # a segment closes with the document that reaches it
+BLOCK_IDS = 1 << 21  # a block has at least as many, unless its segment is shorter, and less than twice as many
+SEGMENT_IDS = BLOCK_IDS  # a segment closes with the document that reaches it
 
 _MAGIC = b"TIDS"
 _HEAD = struct.Struct("<4sHHIQ")  # magic, version, groups of four bits, documents, ids
 _BLOCK = np.dtype([("ids", "<u4"), ("size", "<u4"), ("crc32", "<u4")])
-_VERSION = 1
+_VERSION = 2
 
 
 class _Segment:
@@ -48,11 +48,12 @@ class _Segment:
         self.size += len(ids) // 4
 
     def blocks(self) -> list[np.ndarray]:
-        ids = np.frombuffer(b"".join(self.parts), dtype="<u4")
-        return [ids[a : a + BLOCK_IDS] for a in range(0, len(ids), BLOCK_IDS)]
+        return np.array_split(np.frombuffer(b"".join(self.parts), dtype="<u4"), max(1, self.size // BLOCK_IDS))
 
 
-def _segment_bytes(segment: _Segment, blocks: list[np.ndarray], coded: list[bytes], groups: int) -> bytes:
+def _segment_bytes(segment: _Segment, groups: int) -> bytes:
+    blocks = segment.blocks()
+    coded = range_coder.encode(blocks, groups)
     directory = np.array(
         [(len(b), len(c), range_coder.checksum(b)) for b, c in zip(blocks, coded)], dtype=_BLOCK
     )
@@ -107,38 +108,21 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = E
         encode = encoder(tokenizer, spaces_kept=True)
         groups = (encode.largest_id.bit_length() + 3) // 4
 
-        def coded(segments: list[_Segment]) -> pa.RecordBatch:
-            blocks = [s.blocks() for s in segments]
-            flat = [b for own in blocks for b in own]
-            done: list[bytes] = []
-            for at in range(0, len(flat), range_coder.LANES):
-                done += range_coder.encode(flat[at : at + range_coder.LANES], groups)
-            rows, at = [], 0
-            for segment, own in zip(segments, blocks):
-                data = _segment_bytes(segment, own, done[at : at + len(own)], groups)
-                at += len(own)
-                rows.append((part, segment.first, segment.size, data))
-            columns = list(zip(*rows))
+        def row(segment: _Segment) -> pa.RecordBatch:
+            values = [part, segment.first, segment.size, _segment_bytes(segment, groups)]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             names = ["part", "first", "n_ids", "data"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
-        segments, segment, waiting = [], _Segment(0), 0
+        segment = _Segment(0)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode.encode(text.as_py() or "") + end
-                segment.add(doc_id, ids)
+                segment.add(doc_id, encode.encode(text.as_py() or "") + end)
                 if segment.size >= SEGMENT_IDS:
-                    segments.append(segment)
-                    waiting += segment.size
+                    yield row(segment)
                     segment = _Segment(segment.first + segment.size)
-                    if waiting >= range_coder.LANES * BLOCK_IDS:
-                        yield coded(segments)
-                        segments, waiting = [], 0
         if segment.size:
-            segments.append(segment)
-        if segments:
-            yield coded(segments)
+            yield row(segment)
 
     same = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", same)
@@ -159,39 +143,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     start_of = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def decoded(segments: list[tuple]) -> pa.RecordBatch:
-            found: list[np.ndarray] = []
-            flat = [(c, d) for _, (_, _, directory, coded, _) in segments for c, d in zip(coded, directory)]
-            groups = segments[0][1][4]
-            for at in range(0, len(flat), range_coder.LANES):
-                own = flat[at : at + range_coder.LANES]
-                ids = range_coder.decode([c for c, _ in own], [d["ids"] for _, d in own], groups)
-                if any(range_coder.checksum(i) != d["crc32"] for i, (_, d) in zip(ids, own)):
-                    raise ValueError("damaged block of token ids")
-                found += ids
-            columns: tuple[list, ...] = ([], [], [], [])
-            at = 0
-            for start, (doc_ids, lengths, directory, _, _) in segments:
-                ids = np.concatenate(found[at : at + len(directory)]) if len(directory) else np.zeros(0, np.int64)
-                at += len(directory)
-                ends = np.cumsum(lengths)
-                columns[0].extend(doc_ids)
-                columns[1].extend((start + ends - lengths).tolist())
-                columns[2].extend(lengths.tolist())
-                columns[3].extend(range_coder.checksum(ids[e - n : e]) for e, n in zip(ends, lengths))
+        def decoded(start: int, data: bytes) -> pa.RecordBatch:
+            doc_ids, lengths, directory, coded, groups = read_segment(data)
+            found = range_coder.decode(coded, directory["ids"], groups)
+            if any(range_coder.checksum(i) != crc32 for i, crc32 in zip(found, directory["crc32"].tolist())):
+                raise ValueError("damaged block of token ids")
+            ids, ends = np.concatenate(found), np.cumsum(lengths)
+            checks = [range_coder.checksum(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+            columns = [doc_ids, start + ends - lengths, lengths, checks]
             names = ["doc_id", "start", "n_tokens", "ids_crc32"]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        segments, waiting = [], 0
         for batch in batches:
-            for part, first, n_ids, data in zip(*(batch.column(k) for k in range(4))):
-                segments.append((start_of.value[part.as_py()] + first.as_py(), read_segment(data.as_py())))
-                waiting += n_ids.as_py()
-                if waiting >= range_coder.LANES * BLOCK_IDS:
-                    yield decoded(segments)
-                    segments, waiting = [], 0
-        if segments:
-            yield decoded(segments)
+            for part, first, data in zip(*(batch.column(k) for k in (0, 1, 3))):
+                yield decoded(start_of.value[part.as_py()] + first.as_py(), data.as_py())
 
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

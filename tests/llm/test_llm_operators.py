@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -339,6 +340,44 @@ def test_coder_round_trip():
     assert range_coder.encode([], 4) == []
 
 
+def test_long_blocks_take_few_steps_and_learn():
+    rng = np.random.default_rng(5)
+    common = rng.permutation(50257)[np.minimum(rng.zipf(1.3, 300_000), 50256)]
+    blocks = [common, rng.integers(0, 1 << 16, 70_001), np.zeros(100_000, int), np.arange(40_000) % 20_011]
+    blocks += [common[:n] for n in (1, 2, 511, 512, 513, 1025, 5000)]
+    began = time.process_time()
+    coded = range_coder.encode([b.astype("u4") for b in blocks], 4)
+    back = range_coder.decode(coded, np.array([len(b) for b in blocks]), 4)
+    assert time.process_time() - began < 45  # an id of a block at a time takes minutes
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back))
+    share = np.unique(common, return_counts=True)[1] / len(common)
+    entropy = -(share * np.log2(share)).sum() / 8
+    assert len(coded[0]) < 1.2 * entropy * len(common)
+    assert len(coded[2]) < 0.05 * len(blocks[2])
+    wide = rng.integers(0, 1 << 32, 3000).astype("u4")
+    assert (range_coder.decode(range_coder.encode([wide], 8), [3000], 8)[0] == wide).all()
+    # A damaged or short block gives other ids, not an error of its own.
+    for bad in (b"", coded[-1][:1001], bytes([coded[-1][0] ^ 128]) + coded[-1][1:]):
+        found = range_coder.decode([bad], [5000], 4)[0]
+        assert len(found) == 5000 and (found != blocks[-1]).any()
+
+
+def test_segments_hold_long_blocks(monkeypatch):
+    ids = np.random.default_rng(6).integers(0, 300, 30_000).astype("<u4")
+
+    def blocks():
+        segment = token_files._Segment(0)
+        for k, part in enumerate(np.split(ids, [10, 10_000, 10_001])):
+            segment.add(k or None, part.tobytes())
+        return segment.blocks()
+
+    (block,) = blocks()
+    assert (block == ids).all()
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 8_000)
+    assert [len(b) for b in blocks()] == [10_000] * 3
+    assert (np.concatenate(blocks()) == ids).all()
+
+
 def test_token_files_hold_all_documents_in_order(spark, monkeypatch, tmp_path):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "cat", "sat", "Zürich", "x" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
