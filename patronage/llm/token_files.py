@@ -22,7 +22,7 @@ from patronage.llm.tokens import BYTE_BPE, encoder
 from patronage.session import fresh_folder
 
 END_ID = 2
-BLOCK_IDS = 1 << 21  # a block has at least as many, unless its segment is shorter, and less than twice as many
+BLOCK_IDS = 1 << 22  # a block has at least as many, unless its segment is shorter, and less than twice as many
 SEGMENT_IDS = BLOCK_IDS  # a segment closes with the document that reaches it
 
 _MAGIC = b"TIDS"
@@ -116,8 +116,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = E
 
         segment = _Segment(0)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                segment.add(doc_id, encode.encode(text.as_py() or "") + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode_pieces(batch.column(1))):
+                segment.add(doc_id, ids + end)
                 if segment.size >= SEGMENT_IDS:
                     yield row(segment)
                     segment = _Segment(segment.first + segment.size)

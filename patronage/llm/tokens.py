@@ -1,11 +1,13 @@
 """Token ids of whole texts by a public tokenizer file, one library call per distinct chunk of text.
 
 A text is cut at plain spaces, where the tokenizers in use always cut as well, and each distinct chunk is
-encoded once per worker. The ids are those of encoding the whole text.
+encoded once per worker. The ids are those of encoding the whole text. Where a tokenizer cuts by the byte-level pattern
+alone, plain texts can be cut at all of its borders instead, so that a word is encoded once whatever marks follow it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -32,6 +34,20 @@ _ENCODERS: dict[tuple[str, bool], "LibraryEncoder"] = {}
 _WORD_CHUNK = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,!?;:%$#&*]+)?").fullmatch
 _SOLID_CHUNK = re.compile(r"\S+").fullmatch
 
+# The byte-level pattern cuts plain texts where the kind of character changes: letters, digits, marks (without the
+# apostrophe of contractions), spaces, other white space. All other bytes have kind 0, and so have the second bytes of
+# the two characters among the Latin letters that are signs.
+_LETTERS, _MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PLAIN_PIECE = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)|[ \t\n\r]+").fullmatch
+_SPACE, _WHITE = 4, 5
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[b for b in range(33, 127) if b != ord("'")]] = 3
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0xC3, *range(0x80, 0xC0)]] = 1
+_KINDS[[*range(ord("0"), ord("9") + 1)]] = 2
+_KINDS[[*b"\t\n\r"]] = _WHITE
+_KINDS[ord(" ")] = _SPACE
+_KINDS[[0x97, 0xB7]] = 0
+
 
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
@@ -149,6 +165,109 @@ class LibraryEncoder(ChunkEncoder):
         self._edge = np.zeros(self.largest_id + 1, dtype=bool)
         for token, number in vocabulary.items():
             self._edge[number] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
+        self._model = self._tokenizer.model
+        self._pieces: dict[bytes, bytes] = {}
+        self._older_pieces: dict[bytes, bytes] = {}
+        self._in_pieces = spaces_kept and self._plain_byte_level()
+        if self._in_pieces:
+            from patronage.llm.bpe import byte_symbols
+
+            symbol = {b: c for c, b in byte_symbols().items()}
+            self._written = {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(256)}
+
+    def _plain_byte_level(self) -> bool:
+        """Whether texts are cut by the byte-level pattern alone and the pieces go to the library's BPE as they are."""
+        from tokenizers.models import BPE
+
+        cuts = self._tokenizer.pre_tokenizer
+        state = json.loads(cuts.__getstate__()) if cuts is not None else {}
+        plain = state.get("type") == "ByteLevel" and state.get("use_regex") and not state.get("add_prefix_space")
+        return bool(plain) and self._tokenizer.normalizer is None and isinstance(self._model, BPE)
+
+    def encode_pieces(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: empty) where spaces are kept.
+
+        Plain texts are cut at the borders of the byte-level pattern, other texts are one piece. The pieces of a slice
+        of texts are numbered, and each distinct one that is not remembered goes to the library once.
+        """
+        if not self._in_pieces:
+            yield from (self.encode(text.as_py() or "") for text in texts)
+            return
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            before = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+            yield from self._slice_in_pieces(texts[begin:end].cast(pa.string()))
+            begin = end
+
+    def _slice_in_pieces(self, texts: pa.Array) -> Iterator[bytes]:
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if starts[-1] == starts[0]:
+            yield from (b"" for _ in texts)
+            return
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        begins = self._borders(texts, data, starts)
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        coded = pa.Array.from_buffers(pa.binary(), len(begins), buffers).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._ids_of_pieces(distinct), pa.large_binary()).take(coded.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.searchsorted(begins, starts)].tolist()
+        found = ids.buffers()[2]
+        for a, b in zip(bounds, bounds[1:]):
+            yield found[a:b].to_pybytes() if b > a else b""
+
+    def _borders(self, texts: pa.Array, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of texts that begin at ``starts``."""
+        kind = _KINDS[data]
+        first = starts[:-1][starts[:-1] < starts[1:]]  # of texts that are not empty
+        cut = np.empty(len(data), dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        white = kind >= _SPACE
+        # A piece takes one space before it along. Of more white space, all but the last character is a piece, or all
+        # of it at the end of a text.
+        cut[1:] &= white[1:] | (kind[:-1] != _SPACE)
+        inner = np.flatnonzero(white[1:] & white[:-1]) + 1
+        if len(inner):
+            ends = np.zeros(len(data), dtype=bool)
+            ends[starts[1:][starts[1:] > 0] - 1] = True
+            cut[inner] = ~ends[inner] & ~white[np.minimum(inner + 1, len(data) - 1)]
+        cut[first] = True
+        other = np.zeros(len(texts), dtype=bool)
+        for special in self._special:
+            other |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        other[np.searchsorted(starts, np.flatnonzero(kind == 0), side="right") - 1] = True
+        for text in np.flatnonzero(other).tolist():
+            cut[starts[text] + 1 : starts[text + 1]] = False
+        return np.flatnonzero(cut)
+
+    def _ids_of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(self._pieces.get, pieces))
+        if len(self._pieces) > CACHED_CHUNKS:
+            self._older_pieces, self._pieces = self._pieces, {}
+        known, older, tokenize, written = self._pieces, self._older_pieces, self._model.tokenize, self._written
+        for k, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[k]
+                ids = older.get(piece)
+                if ids is None:
+                    text = piece.decode()
+                    if not _PLAIN_PIECE(text):
+                        found[k] = self.encode(text)
+                        continue
+                    symbols = text[1:] if text[0] == " " else text
+                    if not symbols.isascii() or symbols[:1] in "\t\n\r ":
+                        symbols = symbols.translate(written)
+                    if text[0] == " ":
+                        symbols = "\u0120" + symbols
+                    ids = array("I", [token.id for token in tokenize(symbols)]).tobytes()
+                if len(piece) <= CACHED_CHARS:
+                    known[piece] = ids
+                found[k] = ids
+        return found
 
     def whole(self, text: str) -> bytes:
         return array("I", self._ids(text)).tobytes()

@@ -4,9 +4,11 @@ import math
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ from patronage.llm import (
     range_coder,
     reputation,
     token_files,
+    tokens,
     topk,
     toxicity,
     trie_join,
 )
 from patronage.llm.license_texts import TEMPLATES
-from patronage.llm.tokens import BYTE_BPE, _load
+from patronage.llm.tokens import BYTE_BPE, LibraryEncoder, _load
 
 # --- URL reputation ---
 
@@ -378,6 +381,28 @@ def test_segments_hold_long_blocks(monkeypatch):
     assert (np.concatenate(blocks()) == ids).all()
 
 
+def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "a", "Be", "é", "ß", "÷", "×", "Ωm", "'s", "it's", ".", "$$", "-", "0", "12"]
+    parts += ["½", "²", "_", "\u00a0", "\u2003", "\x7f", "\xad", "\0", "<|endoftext|>", "x" * 60, "🙂", "un", "done", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(5000)] + [None, "", " ", "end "]
+    library, own = _load(BYTE_BPE), LibraryEncoder(BYTE_BPE, spaces_kept=True)
+    wanted = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(own.encode_pieces(pa.array(texts))) == wanted
+    assert list(own.encode_pieces(pa.array(texts, pa.large_string())[7:])) == wanted[7:]
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 20)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 300)
+    own = LibraryEncoder(BYTE_BPE, spaces_kept=True)
+    assert list(own.encode_pieces(pa.array(texts))) == wanted
+    # Words go to the library once, whatever marks follow them; nothing else does.
+    own, asked = LibraryEncoder(BYTE_BPE, spaces_kept=True), []
+    tokenize = own._model.tokenize
+    own._model = SimpleNamespace(tokenize=lambda piece: asked.append(piece) or tokenize(piece))
+    own.whole = own.chunks = None
+    assert len(list(own.encode_pieces(pa.array(["plain words, plain.\nWords", "plain, Words! words"])))) == 2
+    assert len(asked) == len(set(asked)) == 9
+
+
 def test_token_files_hold_all_documents_in_order(spark, monkeypatch, tmp_path):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "cat", "sat", "Zürich", "x" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
