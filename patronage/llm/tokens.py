@@ -47,6 +47,7 @@ _KINDS[[*range(ord("0"), ord("9") + 1)]] = 2
 _KINDS[[*b"\t\n\r"]] = _WHITE
 _KINDS[ord(" ")] = _SPACE
 _KINDS[[0x97, 0xB7]] = 0
+_ODD_WHITE = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -187,8 +188,9 @@ class LibraryEncoder(ChunkEncoder):
     def encode_pieces(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (null: empty) where spaces are kept.
 
-        Plain texts are cut at the borders of the byte-level pattern, other texts are one piece. The pieces of a slice
-        of texts are numbered, and each distinct one that is not remembered goes to the library once.
+        Texts are cut at the borders of the byte-level pattern where these are plain to see: what stands between white
+        space is one piece if it has a byte of kind 0, and so is a text with special tokens or other white space. The
+        pieces of a slice of texts are numbered, and each distinct one that is not remembered goes to the library once.
         """
         if not self._in_pieces:
             yield from (self.encode(text.as_py() or "") for text in texts)
@@ -239,7 +241,17 @@ class LibraryEncoder(ChunkEncoder):
         other = np.zeros(len(texts), dtype=bool)
         for special in self._special:
             other |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-        other[np.searchsorted(starts, np.flatnonzero(kind == 0), side="right") - 1] = True
+        odd = np.flatnonzero(kind == 0)
+        if len(odd):
+            other |= pc.match_substring_regex(texts, _ODD_WHITE).to_numpy(zero_copy_only=False)
+            solid = ~white
+            opens = solid.copy()
+            opens[1:] &= white[:-1]
+            opens[first] = solid[first]
+            run = np.cumsum(opens, dtype=np.int32)
+            uncut = np.zeros(run[-1] + 1, dtype=bool)
+            uncut[run[odd]] = True
+            cut &= ~(uncut[run] & solid & ~opens)
         for text in np.flatnonzero(other).tolist():
             cut[starts[text] + 1 : starts[text + 1]] = False
         return np.flatnonzero(cut)
@@ -256,14 +268,14 @@ class LibraryEncoder(ChunkEncoder):
                 if ids is None:
                     text = piece.decode()
                     if not _PLAIN_PIECE(text):
-                        found[k] = self.encode(text)
-                        continue
-                    symbols = text[1:] if text[0] == " " else text
-                    if not symbols.isascii() or symbols[:1] in "\t\n\r ":
-                        symbols = symbols.translate(written)
-                    if text[0] == " ":
-                        symbols = "\u0120" + symbols
-                    ids = array("I", [token.id for token in tokenize(symbols)]).tobytes()
+                        ids = self.whole(text) if len(piece) <= CACHED_CHARS else self.encode(text)
+                    else:
+                        symbols = text[1:] if text[0] == " " else text
+                        if not symbols.isascii() or symbols[:1] in "\t\n\r ":
+                            symbols = symbols.translate(written)
+                        if text[0] == " ":
+                            symbols = "\u0120" + symbols
+                        ids = array("I", [token.id for token in tokenize(symbols)]).tobytes()
                 if len(piece) <= CACHED_CHARS:
                     known[piece] = ids
                 found[k] = ids

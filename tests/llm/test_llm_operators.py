@@ -384,6 +384,7 @@ def test_segments_hold_long_blocks(monkeypatch):
 def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "a", "Be", "é", "ß", "÷", "×", "Ωm", "'s", "it's", ".", "$$", "-", "0", "12"]
+    parts += ["don't", "\u2019s", "naïve", "日本", "привет", "\x0b", "\x0c", "\x1c", "\x85", "\u180e", "\u3000"]
     parts += ["½", "²", "_", "\u00a0", "\u2003", "\x7f", "\xad", "\0", "<|endoftext|>", "x" * 60, "🙂", "un", "done", " the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(5000)] + [None, "", " ", "end "]
     library, own = _load(BYTE_BPE), LibraryEncoder(BYTE_BPE, spaces_kept=True)
