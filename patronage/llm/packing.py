@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.llm.tokens import WORD_BPE, encoder
-from patronage.session import durable
+from patronage.session import durable, small_batches
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -140,7 +140,8 @@ def pack(
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
-    pieces = durable(_pieces(docs, tokenizer, end_id, capacity))
+    with small_batches(spark):
+        pieces = durable(_pieces(docs, tokenizer, end_id, capacity))
     per_task = durable(pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_task.select(

@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 CACHED_CHUNKS = 500_000  # per worker, twice: chunks not seen for so many new ones are encoded again
+CACHED_WORDS = 100_000  # the same where words are parted from their marks
 CACHED_CHARS = 48
-SLICE_BYTES = 16_000_000  # of texts whose chunks are looked up together, about, or one text
+SLICE_BYTES = 16_000_000  # of texts whose pieces are looked up together, about, or one text
+WORD_SLICES = 4  # parts of that for words and marks: a slice's numbers and ids take several times its bytes
 GROUP_CHUNKS = 20_000  # new chunks that the library gets at once
 
 # A space between two other white-space characters, or between one and the end: only there does the byte-level
@@ -47,6 +49,12 @@ _KINDS[[*range(ord("0"), ord("9") + 1)]] = 2
 _KINDS[[*b"\t\n\r"]] = _WHITE
 _KINDS[ord(" ")] = _SPACE
 _KINDS[[0x97, 0xB7]] = 0
+
+# Between plain spaces, letters with these marks after them are two words to tokenizers that cut words from marks. Other
+# bytes have kind 0.
+_WORD_MARKS = ".,!?;:%$#&*"
+_WORD_KINDS = np.where(_KINDS == 1, 1, 0).astype(np.uint8)
+_WORD_KINDS[[*_WORD_MARKS.encode()]] = 2
 _ODD_WHITE = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -77,6 +85,7 @@ class ChunkEncoder:
     def __init__(self, spaces_kept: bool, special: Iterable[str]):
         self._spaces_kept = spaces_kept
         self._special = list(special)
+        self._marks_apart = False  # whether letters with marks after them have the ids of both one after the other
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -117,40 +126,69 @@ class ChunkEncoder:
     def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (null: empty), where white space gets no ids.
 
-        Texts are taken in slices: a slice's chunks are numbered, each distinct one is looked up once, those not known
-        are encoded together, and the ids of all chunks are gathered by number.
+        Texts are taken in slices: a slice's chunks are numbered, the marks after a word as one of their own. Each
+        distinct one is looked up once, those not known are encoded together, and the ids of all are gathered by number.
         """
         texts = pc.fill_null(texts, "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < len(texts):
             before = sizes[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
-            lists = pc.split_pattern(texts[begin:end].cast(pa.string()), " ")
-            edges = lists.offsets.to_numpy().astype(np.int64)
-            coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-            ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-            bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-            data = ids.buffers()[2]
-            bounds = bounds[edges - edges[0]].tolist()
+            end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES // WORD_SLICES, side="right")))
+            ids, bounds = self._slice_in_words(texts[begin:end].cast(pa.string()))
             for a, b in zip(bounds, bounds[1:]):
-                yield data[a:b].to_pybytes() if b > a else b""
+                yield ids[a:b].to_pybytes() if b > a else b""
             begin = end
 
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks; the new ones are encoded in groups and remembered if they are short."""
-        found = [self._cache.get(chunk) for chunk in chunks]
-        missing = [chunk for chunk, ids in zip(chunks, found) if ids is None]
+    def _slice_in_words(self, texts: pa.Array) -> tuple[pa.Buffer | None, list[int]]:
+        """The ids of all texts in a row, and the places in them where texts begin and end."""
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if starts[-1] == starts[0]:
+            return None, [0] * len(starts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        begins = self._words(data, starts)
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        coded = pa.Array.from_buffers(pa.binary(), len(begins), buffers).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._known(distinct), pa.large_binary()).take(coded.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.searchsorted(begins, starts)]
+        return ids.buffers()[2], bounds.tolist()
+
+    def _words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where chunks begin in the bytes of texts that begin at ``starts``, each with the space before it, and where
+        the marks after a chunk's letters begin. A chunk of any other form stays whole."""
+        cut = data == ord(" ")
+        cut[starts[:-1][starts[:-1] < starts[1:]]] = True
+        if not self._marks_apart:
+            return np.flatnonzero(cut)
+        chunks, kind = np.flatnonzero(cut), _WORD_KINDS[data]
+        marks = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+        other = (kind == 0) & (data != ord(" "))
+        other[1:] |= (kind[1:] == 1) & (kind[:-1] == 2) & ~cut[1:]
+        whole = np.zeros(len(chunks), dtype=bool)
+        whole[np.searchsorted(chunks, np.flatnonzero(other), side="right") - 1] = True
+        cut[marks[~whole[np.searchsorted(chunks, marks, side="right") - 1]]] = True
+        return np.flatnonzero(cut)
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, a space before them left out; the new ones are encoded in groups and remembered if
+        they are short."""
+        found = [self._cache.get(piece) for piece in pieces]
+        missing = [piece for piece, ids in zip(pieces, found) if ids is None]
         if not missing:
             return found
-        fresh = {chunk: self._older[chunk] for chunk in missing if chunk in self._older}
-        new = [chunk for chunk in missing if chunk not in fresh]
+        fresh = {piece: self._older[piece] for piece in missing if piece in self._older}
+        new = [piece for piece in missing if piece not in fresh]
         for at in range(0, len(new), GROUP_CHUNKS):
-            fresh.update(self.chunks(new[at : at + GROUP_CHUNKS]))
-        if len(self._cache) + len(fresh) > CACHED_CHUNKS:
+            texts = {piece: piece.decode().removeprefix(" ") for piece in new[at : at + GROUP_CHUNKS]}
+            ids = self.chunks(list(set(texts.values())))
+            fresh.update((piece, ids[text]) for piece, text in texts.items())
+        if len(self._cache) + len(fresh) > (CACHED_WORDS if self._marks_apart else CACHED_CHUNKS):
             self._older, self._cache = self._cache, {}
-        self._cache.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_CHARS)
-        return [fresh[chunk] if ids is None else ids for chunk, ids in zip(chunks, found)]
+        self._cache.update((piece, ids) for piece, ids in fresh.items() if len(piece) <= CACHED_CHARS)
+        return [fresh[piece] if ids is None else ids for piece, ids in zip(pieces, found)]
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -167,6 +205,7 @@ class LibraryEncoder(ChunkEncoder):
         for token, number in vocabulary.items():
             self._edge[number] = token.startswith("\u0120") if spaces_kept else token.endswith("</w>")
         self._model = self._tokenizer.model
+        self._marks_apart = not spaces_kept and self._cuts_marks()
         self._pieces: dict[bytes, bytes] = {}
         self._older_pieces: dict[bytes, bytes] = {}
         self._in_pieces = spaces_kept and self._plain_byte_level()
@@ -176,6 +215,14 @@ class LibraryEncoder(ChunkEncoder):
             symbol = {b: c for c, b in byte_symbols().items()}
             self._written = {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(256)}
 
+    def _cuts_marks(self) -> bool:
+        """Whether the tokenizer cuts between letters and the marks after them, whatever these are."""
+        cuts = self._tokenizer.pre_tokenizer
+        if cuts is None or any(set(special) <= set(_WORD_MARKS) or _WORD_CHUNK(special) for special in self._special):
+            return False
+        ends = [mark + more for mark in _WORD_MARKS for more in ("", *_WORD_MARKS)]
+        return all(cuts.pre_tokenize_str(letter + end)[0][1] == (0, 1) for letter in "aZ\u00e9" for end in ends)
+
     def _plain_byte_level(self) -> bool:
         """Whether texts are cut by the byte-level pattern alone and the pieces go to the library's BPE as they are."""
         from tokenizers.models import BPE

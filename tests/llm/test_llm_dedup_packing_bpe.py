@@ -161,3 +161,67 @@ def test_many_texts_at_once_get_the_ids_of_each(monkeypatch):
     for batch in (pa.array(texts), pa.array(texts).slice(40, 200), pa.array([], pa.string())):
         wanted = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in batch.to_pylist()]
         assert list(own.encode_many(batch)) == wanted
+
+
+def test_words_go_to_the_library_once_whatever_marks_follow():
+    import pyarrow as pa
+
+    from patronage.llm import tokens
+
+    texts = ["plain words, plain.", "words;; other,x  plain! Zoë; 'tis!!", "plain\nwords. ,", "", None, "<|endoftext|>! x<|endoftext|>."]
+    library, asked = _load(WORD_BPE), []
+    own = tokens.LibraryEncoder(WORD_BPE, spaces_kept=False)
+    chunks = own.chunks
+    own.chunks = lambda new: asked.extend(new) or chunks(new)
+    wanted = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(own.encode_many(pa.array(texts))) == wanted
+    assert len(asked) == len(set(asked))
+    assert {"plain", "words", ",", ".", "!", ";;", "other,x", "Zoë", ";", "'tis!!"} <= set(asked)
+    assert not {"words,", "plain.", "words;;", "plain!", "Zoë;"} & set(asked)
+
+
+def test_encoding_many_texts_holds_little_at_once():
+    import random
+
+    import pyarrow as pa
+
+    from patronage.llm import tokens
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts = pa.array([" ".join(rng.choices(words, k=1500)) for _ in range(1600)])
+    own, before = tokens.LibraryEncoder(WORD_BPE, spaces_kept=False), pa.default_memory_pool()
+    counted = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(counted)
+    try:
+        assert sum(len(ids) > 0 for ids in own.encode_many(texts)) == len(texts)
+    finally:
+        pa.set_memory_pool(before)
+    assert texts.nbytes > 15e6
+    assert counted.max_memory() < 45e6
+
+
+def test_packing_and_linking_send_texts_in_small_batches(spark, monkeypatch):
+    from patronage import session
+    from patronage.llm import jaccard_join, packing
+
+    seen = []
+
+    def recorded(df):
+        seen.append(spark.conf.get(session._BATCH_SETTING, None))
+        return session.durable(df)
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    for module, run in ((packing, packing.pack), (jaccard_join, jaccard_join.link)):
+        monkeypatch.setattr(module, "durable", recorded)
+        seen.clear()
+        assert run(docs).count() == 3
+        assert seen[0] == str(session.BATCH_BYTES)
+        assert spark.conf.get(session._BATCH_SETTING, None) is None
+    spark.conf.set(session._BATCH_SETTING, "9999999")
+    try:
+        with session.small_batches(spark):
+            assert spark.conf.get(session._BATCH_SETTING) == "9999999"
+        assert spark.conf.get(session._BATCH_SETTING) == "9999999"
+    finally:
+        spark.conf.unset(session._BATCH_SETTING)
