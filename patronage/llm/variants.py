@@ -171,15 +171,18 @@ def _joined(parts):
 
 
 def _numbered_pairs(words: DataFrame) -> DataFrame:
-    """All pairs (id, p, s, skips, first) whose nodes more than one word may share."""
+    """All pairs (id, p, s, skips, first) whose nodes more than one word may share.
+
+    The joins shuffle both sides: Spark takes the pairs for as many as there are words, and would broadcast them.
+    """
     numbers = _node_numbers(words)
     fore = numbers.where("not backwards").select(F.col("key").alias("pkey"), F.col("number").alias("_p"))
     back = numbers.where("backwards").select(F.col("key").alias("skey"), F.col("number").alias("_s"))
     kept = ["id", "p", "s", "skips", "first"]
     rows = _emit(words, deep=True)
-    ahead = rows.where("pkey is not null").join(fore, "pkey").withColumn("p", F.col("_p")).select(*kept, "skey")
+    ahead = rows.where("pkey is not null").join(fore.hint("merge"), "pkey").withColumn("p", F.col("_p")).select(*kept, "skey")
     rows = ahead.unionByName(rows.where("pkey is null").select(*kept, "skey"))
-    behind = rows.where("skey is not null").join(back, "skey").withColumn("s", F.col("_s")).select(kept)
+    behind = rows.where("skey is not null").join(back.hint("merge"), "skey").withColumn("s", F.col("_s")).select(kept)
     deep = behind.unionByName(rows.where("skey is null").select(kept))
     return _emit(words, deep=False).unionByName(deep)
 
@@ -233,7 +236,8 @@ def group_variants(words: DataFrame, factor: int = FORM_FACTOR) -> DataFrame:
     """
     ranked = words.where("word is not null").repartitionByRange(F.desc("n"), F.asc("word"))
     ranked = ranked.sortWithinPartitions(F.desc("n"), F.asc("word"))
-    known = durable(ranked.select("word", "n", F.monotonically_increasing_id().alias("id")))
+    # A table of all words is much smaller in its file than in memory, so it is shuffled and never broadcast.
+    known = durable(ranked.select("word", "n", F.monotonically_increasing_id().alias("id"))).hint("merge")
     near = durable(_neighbours(_numbered_pairs(known)))
     rows = known.join(near, "id", "left")
     forms = known.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))

@@ -276,3 +276,13 @@ def test_variants_of_documents(spark, monkeypatch):
     rows = [tuple(r) for r in variants.spelling_variants(frame(spark, docs), damage=31).collect()]
     assert sorted(map(str, rows)) == sorted(map(str, plain_variants(plain_counts(docs))))
     assert variants.spelling_variants(frame(spark, docs).limit(0)).collect() == []
+
+
+def test_pairs_of_all_words_are_never_broadcast(spark):
+    words = spark.createDataFrame([(f"{a}ordering{b}", 5) for a in "abcd" for b in "xyz"], "word string, n long")
+    known = words.selectExpr("word", "monotonically_increasing_id() as id")
+    pairs = variants._numbered_pairs(known)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    found = variants.group_variants(words)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and {r.n_near for r in found.collect()} == {5}
