@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from patronage.plans import affinity, bookings, boosting, lloyd, subspace
+from patronage.plans import affinity, bookings, boosting, lloyd, regress, subspace
 from patronage.sources import views
 
 
@@ -91,3 +91,16 @@ def test_a_tree_takes_one_job_per_level(spark, monkeypatch):
         assert len(model.trees) == trees
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[4] - jobs[1] == 3 * 3
+
+
+def test_rows_of_the_leaderboard_take_no_memory_from_the_fits(spark, monkeypatch):
+    levels = []
+    fit = regress.fit
+    monkeypatch.setattr(regress, "fit", lambda estimator, rows: levels.append(rows.storageLevel) or fit(estimator, rows))
+    x = F.array(*[(F.xxhash64("id", F.lit(k)) % 100).cast("double") for k in range(2)])
+    rows = spark.range(200).select(
+        F.lit(0).alias("reservation_id"), (F.col("id") * 5).cast("int").alias("slot"), array_to_vector(x).alias(regress.LINEAR_INPUT), x[0].alias("label")
+    )
+    board = regress.leaderboard(rows, {"linear": regress._linear(0.01, 0.0)})
+    assert [name for _, name, _ in board] == ["linear"]
+    assert [(level.useMemory, level.useDisk) for level in levels] == [(False, True)]
