@@ -616,3 +616,27 @@ def test_the_toxicity_sample_is_bounded_in_rows(spark):
     assert toxicity._sampled(docs, labels, ("toxic",), 10).count() == 10
     whole = toxicity._sampled(docs, labels, ("toxic",), 1000)
     assert {r.doc_id: r["count"] for r in whole.groupBy("doc_id").count().collect()} == {1: 1, 2: 50, 3: 1}
+
+
+def test_jaccard_join_sends_sets_in_passes_and_leaves_no_tables_of_them(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(30)]
+    for k in range(0, 30, 2):
+        texts.append([*texts[k][:-1], "other"])
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard_join.link(docs).collect()))
+    assert sum(a != c for a, _, c in whole) == 15
+    made, calls = [], []
+    durable, linked = jaccard_join.durable, jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "durable", lambda df: made.append(durable(df)) or made[-1])
+    monkeypatch.setattr(jaccard_join, "_linked", lambda *a: calls.append(a) or linked(*a))
+    monkeypatch.setattr(jaccard_join, "PASS_BYTES", 1)
+    monkeypatch.setattr(jaccard_join, "MOST_PASSES", 3)
+    assert sorted(map(tuple, jaccard_join.link(docs).collect())) == whole
+    assert len(calls) >= 3
+    tables = [df for df in made if {"hashes", "h"} & set(df.columns) and df.inputFiles() and "c" not in df.columns]
+    assert len([df for df in tables if "k1" in df.columns]) >= 4
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        gone = not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        assert gone or "k1" not in df.columns
